@@ -1,11 +1,13 @@
-"""Registered queries over the reference-style tables and their SQL."""
+"""Registered queries over the given tables and their SQL."""
 
 from __future__ import annotations
 
+from quarry.jobs import catalogue
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalogue.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(catalogue.SQL)
