@@ -9,8 +9,9 @@
    the posterior chance (uniform prior) that its similarity reaches the threshold falls below miss.
 5. Survivors are verified exactly on full sets: first each class with its most similar leader, then what these links
    leave unconnected. Links and their components are found.
-6. In buckets that still hold two components or more, every pair of classes of different components is compared, pruned
-   and verified like this, so no link between components is lost to the choice of leaders.
+6. Classes in buckets that still hold two components or more are joined by their rarest shingles (prefix filter with
+   positions); all pairs of different components that this leaves are pruned and verified, so no link between components
+   is lost to the choice of leaders.
 
 Words are runs of characters other than ASCII white space, A to Z in lower case. Fewer words than a shingle: the whole
 sequence is one. Null, empty and blank texts have no shingles and no links. Rows with equal doc_id are one document for
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import materialise, slices, whole_text
@@ -189,6 +190,38 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return full.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def _near(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: all pairs of nodes(node, component) of different components that can be similar, by prefix and position.
+
+    Shingles are ordered by the number of nodes that hold them, rarest first. Two sets with the asked similarity share one
+    of the first n - ceil(n * percent / 100) + 1 of either, and enough shingles stand behind it. Copies that have too
+    many shingles of their own are thus found to be alone without being compared with the others of their group.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t, k) for t in batch.column(2).to_pylist()]
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            rows = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            grams = pa.array(np.concatenate(sets).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(sizes, sizes)), grams], ["node", "component", "n", "gram"])
+
+    held = nodes.join(texts, "node").select("node", "component", "text").mapInArrow(spread, "node long, component long, n long, gram long")
+    held = materialise(held, "grams")
+    common = held.groupBy("gram").count()
+    ranked = held.join(common, "gram").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("count", "gram")) - 1)
+    first = ranked.where((F.col("count") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+    first = materialise(first.select("gram", "node", "component", "n", "at"), "prefixes")
+    x, y = (first.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "at"))) for s in "xy")
+    enough = (100 + percent) * (1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)) >= percent * (F.col("n_x") + F.col("n_y"))
+    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("component_x") < F.col("component_y")) & _near("n_x", "n_y", percent) & enough)
+    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     threshold = percent / 100
@@ -204,10 +237,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     shared = shared.where("size > 1").select("band", "bucket", "l.leader", "l.leader_n")
     in_shared = materialise(buckets.join(shared, ["band", "bucket"]), "buckets")
 
-    def near(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    star = in_shared.where((F.col("node") != F.col("leader")) & near("n", "leader_n")).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    star = in_shared.where((F.col("node") != F.col("leader")) & _near("n", "leader_n", percent)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     star = materialise(pruned(star, classes, threshold, miss), "star")
 
     best = star.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
@@ -221,9 +251,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     held = in_shared.select("node", "n", "band", "bucket").join(found, "node", "left").select("node", "n", "band", "bucket", F.coalesce("component", "node").alias("component"))
     held = materialise(held, "held")
     mixed_up = held.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
-    open_ = held.join(mixed_up, ["band", "bucket"])
-    pairs = open_.alias("x").join(open_.alias("y"), ["band", "bucket"]).where((F.col("x.component") < F.col("y.component")) & near("x.n", "y.n"))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    open_ = materialise(held.join(mixed_up, ["band", "bucket"]).select("node", "component").distinct(), "open")
+    pairs = prefix_pairs(open_, texts, k, percent)
     tested = star.select("a", "b").union(star.select("b", "a"))
     last = materialise(pruned(pairs.join(tested, ["a", "b"], "left_anti"), classes, threshold, miss), "rest").select("a", "b")
     found = materialise(components(links.union(verified(last, texts, k, percent))), "found")
