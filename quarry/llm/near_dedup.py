@@ -4,14 +4,14 @@
 2. Texts with equal sets form a class; from here on a class has one row, named by its smallest doc_id.
 3. Bands of the signature put classes into buckets; rows per band are the most that keep the chance that a pair at the
    threshold shares no bucket below miss.
-4. In each bucket every class is paired with one leader, drawn anew for each bucket, so pairs grow with the rows and not
-   with the square of a group. Signatures of a pair are compared a batch after the other; a pair is dropped as soon as
+4. In each bucket every class is paired with one leader, drawn anew for each bucket; of these leaders a class keeps the
+   few that it shares most buckets with, so pairs grow with the rows and not with the square of a group. Signatures of a pair are compared a batch after the other; a pair is dropped as soon as
    the posterior chance (uniform prior) that its similarity reaches the threshold falls below miss.
-5. Survivors are verified exactly on full sets: first each class with its most similar leader, then what these links
-   leave unconnected. Links and their components are found.
+5. Each class is verified exactly, on full sets, with its most similar leader; then, in rounds, with the best-linked
+   class of its buckets if that is in another component. Links and their components are found.
 6. Classes in buckets that still hold two components or more are joined by their rarest shingles (prefix filter with
-   positions); all pairs of different components that this leaves are pruned and verified, so no link between components
-   is lost to the choice of leaders.
+   positions); all pairs of different components that this leaves are verified, so no link between components is lost to
+   the choice of leaders. (They are so close to the threshold that signatures tell hardly any apart.)
 
 Words are runs of characters other than ASCII white space, A to Z in lower case. Fewer words than a shingle: the whole
 sequence is one. Null, empty and blank texts have no shingles and no links. Rows with equal doc_id are one document for
@@ -34,6 +34,10 @@ from quarry.llm.common import materialise, slices, whole_text
 from quarry.llm.components import components
 
 HASHES = 128
+#: Leaders that a class is compared with before step 6, which finds whatever links these leave out.
+LEADERS = 12
+#: Rounds in which a class is compared with the best-linked one of its buckets, likewise.
+HUBS = 1
 BATCH = 16
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -194,10 +198,24 @@ def _near(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def mixed_buckets(held: DataFrame) -> DataFrame:
+    """band, bucket of those with two components or more."""
+    return held.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
+
+
+def hub_pairs(held: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """a, b: each node of another component with the best-linked node of the buckets it is in."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    here = held.join(mixed_buckets(held), ["band", "bucket"]).join(ends, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    hubs = here.groupBy("band", "bucket").agg(F.max(F.struct("degree", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))).alias("h"))
+    near = here.join(hubs.select("band", "bucket", "h.*").withColumnRenamed("degree", "b_degree"), ["band", "bucket"]).where((F.col("component") != F.col("b_component")) & _near("n", "b_n", percent))
+    return near.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("b_degree", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
+
+
 def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: all pairs of nodes(node, component) of different components that can be similar, by prefix and position.
 
-    Shingles are ordered by the number of nodes that hold them, rarest first. Two sets with the asked similarity share one
+    Shingles are ordered by the number of components that hold them, rarest first; those of one component match nothing. Two sets with the asked similarity share one
     of the first n - ceil(n * percent / 100) + 1 of either, and enough shingles stand behind it. Copies that have too
     many shingles of their own are thus found to be alone without being compared with the others of their group.
     """
@@ -212,7 +230,7 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 
     held = nodes.join(texts, "node").select("node", "component", "text").mapInArrow(spread, "node long, component long, n long, gram long")
     held = materialise(held, "grams")
-    common = held.groupBy("gram").count()
+    common = held.groupBy("gram").agg(F.countDistinct("component").alias("count"))
     ranked = held.join(common, "gram").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("count", "gram")) - 1)
     first = ranked.where((F.col("count") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
     first = materialise(first.select("gram", "node", "component", "n", "at"), "prefixes")
@@ -237,25 +255,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     shared = shared.where("size > 1").select("band", "bucket", "l.leader", "l.leader_n")
     in_shared = materialise(buckets.join(shared, ["band", "bucket"]), "buckets")
 
-    star = in_shared.where((F.col("node") != F.col("leader")) & _near("n", "leader_n", percent)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    star = in_shared.where((F.col("node") != F.col("leader")) & _near("n", "leader_n", percent)).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).count()
+    likely = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), F.xxhash64("a", "b")))
+    star = star.withColumn("turn", likely).where(F.col("turn") <= LEADERS).select("a", "b")
     star = materialise(pruned(star, classes, threshold, miss), "star")
 
     best = star.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     links = materialise(verified(best, texts, k, percent).distinct(), "links")
     found = materialise(components(links), "found")
-    rest = _apart(star.select("a", "b").join(best, ["a", "b"], "left_anti"), found)
-    more = materialise(verified(rest, texts, k, percent).distinct(), "links")
-    links = links.union(more)
-    found = materialise(components(links), "found")
-
-    held = in_shared.select("node", "n", "band", "bucket").join(found, "node", "left").select("node", "n", "band", "bucket", F.coalesce("component", "node").alias("component"))
-    held = materialise(held, "held")
-    mixed_up = held.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
-    open_ = materialise(held.join(mixed_up, ["band", "bucket"]).select("node", "component").distinct(), "open")
-    pairs = prefix_pairs(open_, texts, k, percent)
-    tested = star.select("a", "b").union(star.select("b", "a"))
-    last = materialise(pruned(pairs.join(tested, ["a", "b"], "left_anti"), classes, threshold, miss), "rest").select("a", "b")
-    found = materialise(components(links.union(verified(last, texts, k, percent))), "found")
+    for _ in range(HUBS):
+        held = in_shared.select("node", "n", "band", "bucket").join(found, "node", "left").select("node", "n", "band", "bucket", F.coalesce("component", "node").alias("component"))
+        held = materialise(held, "held")
+        pairs = materialise(hub_pairs(held, links, percent), "hubs")
+        more = verified(pruned(pairs, classes, threshold, miss).select("a", "b"), texts, k, percent)
+        links = links.union(materialise(more.distinct(), "links"))
+        found = materialise(components(links), "found")
+
+    held = in_shared.select("node", "band", "bucket").join(found, "node", "left").select("node", "band", "bucket", F.coalesce("component", "node").alias("component"))
+    open_ = held.join(mixed_buckets(held), ["band", "bucket"]).select("node", "component").distinct()
+    pairs = prefix_pairs(materialise(open_, "open"), texts, k, percent)
+    found = materialise(components(links.union(verified(pairs, texts, k, percent))), "found")
 
     named = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
     result = sketched.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
@@ -263,13 +282,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs that found(node, component) doesn't connect."""
-    own = lambda c, to: found.select(F.col("node").alias(c), F.col("component").alias(to))
-    both = pairs.join(own("a", "ca"), "a", "left").join(own("b", "cb"), "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """The rows of docs whose document is the first of its group, with all their columns."""
     gone = near_duplicates(docs, k, percent, miss).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
