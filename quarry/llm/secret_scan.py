@@ -45,7 +45,7 @@ ALLOW = (
     re.compile(r"[A-Za-z_/=+-]+\Z"),
     re.compile(r"[0-9_/=+-]+\Z"),
 )
-N_LOG_N = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
+N_LOG_N = [0.0] + [n * log2(n) for n in range(1, WINDOW + 2)]
 
 
 def windows(text: str, threshold: float, size: int = WINDOW) -> list[tuple[int, int]]:
