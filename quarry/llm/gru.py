@@ -17,7 +17,7 @@ LANES = 512
 class Model:
     """Ids below size are words, ordered by frequency; id i is word i % per_class of class i // per_class. first stands before a document."""
 
-    def __init__(self, size: int, first: int, width: int = 12, per_class: int = 32, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
+    def __init__(self, size: int, first: int, width: int = 8, per_class: int = 32, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
         self.size, self.first, self.width, self.per_class = size, first, width, per_class
         self.classes = -(-size // per_class)
         c, s, h = self.classes, per_class, width

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -137,19 +137,18 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 102
             scores = document_scores(model, ids, starts, lengths) / np.log(10)
             sums = lambda x: np.add.reduceat(x, starts)
             logs, outside = w.log[ranks], ids == w.known
-            rare = []
-            for t, at, n in zip(tokens, starts.tolist(), lengths.tolist()):
-                rare.append(list(Counter(t[i].decode() for i in np.flatnonzero(ranks[at : at + n] < 0).tolist()).items()))
-            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
+            every, at = list(chain.from_iterable(tokens)), np.flatnonzero(ranks < 0)
+            cuts = np.append(np.searchsorted(at, starts), len(at)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array([every[i] for i in at.tolist()], pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(lengths), pa.array(sums((ranks >= 0).astype(np.int64))), pa.array(sums(logs)), pa.array(scores + sums(np.where(outside, logs - others, 0.0))), pa.array([[{"word": a, "n": b} for a, b in r] for r in rare], kind)],
+                [*batch.columns[:3], pa.array(lengths), pa.array(sums((ranks >= 0).astype(np.int64))), pa.array(sums(logs)), pa.array(scores + sums(np.where(outside, logs - others, 0.0))), rare],
                 ["row", "doc_id", "held_out", "n_tokens", "n_hot", "logs", "score", "rare"],
             )
 
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = materialise(rows.mapInArrow(measure, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, logs double, score double, rare array<struct<word:string,n:long>>"), "scored")
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))
-    met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs_rare"))
+    rows = materialise(rows.mapInArrow(measure, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, logs double, score double, rare array<string>"), "scored")
+    rare = rows.select("row", F.explode("rare").alias("word"))
+    met = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("logs_rare"))
     full = rows.drop("rare").join(met, "row", "left")
     logs = F.coalesce("logs_rare", F.lit(0.0))
     return full.select(
