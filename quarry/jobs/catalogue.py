@@ -218,7 +218,7 @@ def reliability_scores(spark, sf_dir):
     return stores.reliability(views.feedback(spark, sf_dir))
 
 
-@query(f"WITH {FEEDBACK_SQL} SELECT source_name, round(0.5 + 0.75 * score, 4) AS multiplier FROM z")
+@query(f"WITH {FEEDBACK_SQL} SELECT source_name, 0.5::DOUBLE + 0.75::DOUBLE * score AS multiplier FROM z")
 def trust_multipliers(spark, sf_dir):
     return stores.trust(stores.reliability(views.feedback(spark, sf_dir)))
 
