@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.jobs import catalogue
+from quarry.jobs import catalogue, evidence  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:
