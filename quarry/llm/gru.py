@@ -15,126 +15,133 @@ LANES = 512
 
 
 class Model:
-    """Ids below size are words, ordered by frequency; id i is word i % per_class of class i // per_class. first stands before a document."""
+    """Ids below size are words, ordered by frequency; id i is word i % per_class of class i // per_class. first stands before a document.
+
+    States lie with one row for each of their numbers, so that gates are contiguous. The last row of wx, wc and wo is a
+    bias.
+    """
 
     def __init__(self, size: int, first: int, width: int = 8, per_class: int = 32, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
         self.size, self.first, self.width, self.per_class = size, first, width, per_class
         self.classes = -(-size // per_class)
         c, s, h = self.classes, per_class, width
-        shapes = [(c * s, h), (h, 3 * h), (h, 3 * h), (3 * h,), (h, c), (c,), (c, h, s), (c, s)]
+        shapes = [(c * s, h), (h + 1, 3 * h), (h, 3 * h), (h + 1, c), (c, h + 1, s)]
         self.bounds = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
         self.shapes = shapes
         self.flat = np.zeros(self.bounds[-1], dtype=np.float32) if flat is None else np.array(flat, dtype=np.float32)
         self.views(self.flat, "")
         if flat is None:
             rng = np.random.default_rng(11)
-            for x in (self.embed, self.wx, self.wh):
+            for x in (self.embed, self.wx[:h], self.wh):
                 x[:] = rng.normal(0, 0.5 / np.sqrt(h), x.shape)
             # the biases begin as the counts have it: before training the model is the corpus' word frequencies
             n = np.full(c * s, 1e-9)
             n[:size] = (np.ones(size) if counts is None else counts) + 1e-3
             n = n.reshape(c, s)
-            self.bc[:] = np.log(n.sum(1))
-            self.bo[:] = np.log(n / n.sum(1, keepdims=True))
+            self.wc[h] = np.log(n.sum(1))
+            self.wo[:, h] = np.log(n / n.sum(1, keepdims=True))
 
     def views(self, flat: np.ndarray, prefix: str) -> None:
-        names = ("embed", "wx", "wh", "b", "wc", "bc", "wo", "bo")
+        names = ("embed", "wx", "wh", "wc", "wo")
         for name, low, high, shape in zip(names, self.bounds[:-1], self.bounds[1:], self.shapes):
             setattr(self, prefix + name, flat[low:high].reshape(shape))
 
     def run(self, before: np.ndarray, kept: np.ndarray, h: np.ndarray, keep: bool):
-        """States of a window. before: ids that went before (STEPS, lanes); kept: 0 where a document begins."""
-        w, steps = self.width, len(before)
-        x = self.embed[before]
-        px = x @ self.wx + self.b
-        states = np.empty((steps, h.shape[0], w), dtype=np.float32)
-        saved = []
+        """States of a window. before: ids that went before (STEPS, lanes); kept: 0 where a document begins; h: (width, lanes)."""
+        w, (steps, lanes) = self.width, before.shape
+        # what a word adds to the gates is a row of one table
+        px = np.ascontiguousarray((self.embed @ self.wx[:w] + self.wx[w])[before].transpose(0, 2, 1))
+        states = np.empty((steps, w, lanes), dtype=np.float32)
+        whole, wh, saved = kept.all(1).tolist(), np.ascontiguousarray(self.wh.T), []
         for t in range(steps):
-            if not kept[t].all():
-                h = h * kept[t][:, None]
-            g = h @ self.wh
-            gate = px[t, :, : 2 * w] + g[:, : 2 * w]
+            if not whole[t]:
+                h = h * kept[t]
+            g = wh @ h
+            gate = px[t, : 2 * w] + g[: 2 * w]
             gate *= 0.5
             np.tanh(gate, out=gate)
             gate += 1
             gate *= 0.5
-            z, r, u = gate[:, :w], gate[:, w:], g[:, 2 * w :]
+            z, r, u = gate[:w], gate[w:], g[2 * w :]
             n = r * u
-            n += px[t, :, 2 * w :]
+            n += px[t, 2 * w :]
             np.tanh(n, out=n)
-            new = h - n
+            new = states[t]
+            np.subtract(h, n, out=new)
             new *= z
             new += n
             if keep:
                 saved.append((h, z, r, u, n))
-            states[t] = h = new
-        return states, x, saved
+            h = new
+        return states, saved
 
     def score(self, states: np.ndarray, target: np.ndarray, grads: bool = False, scale: float = 1.0):
-        """Natural log-probabilities of target words; with grads also the gradient of the states, and own gradients added up.
+        """Natural log-probabilities of target words after states (tokens, width); with grads also the gradient of the states, and own gradients added up.
 
-        Weights are too small (the gradient is clipped) for the exponentials to overflow, so no maximum is taken off.
+        Tokens are sorted by class, so that each class has its own run of rows. Weights are too small (the gradient is
+        clipped) for the exponentials to overflow, so no maximum is taken off.
         """
         cls, word = np.divmod(target, self.per_class)
-        rows, ones = np.arange(len(target)), np.ones(self.per_class, dtype=np.float32)
-        logit = states @ self.wc
-        logit += self.bc
-        picked = logit[rows, cls]
-        np.exp(logit, out=logit)
-        total = logit @ np.ones(self.classes, dtype=np.float32)
-        out = picked - np.log(total)
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
-        if grads:
-            logit *= (scale / total)[:, None]
-            logit[rows, cls] -= scale
-            d = logit @ self.wc.T
-            self.d_wc += states.T @ logit
-            self.d_bc += logit.sum(0)
-        for c in range(self.classes):
-            if cuts[c] == cuts[c + 1]:
-                continue
-            at = order[cuts[c] : cuts[c + 1]]
-            own, s = word[at], states[at]
-            inner = s @ self.wo[c]
-            inner += self.bo[c]
-            n = rows[: len(at)]
-            picked = inner[n, own]
-            np.exp(inner, out=inner)
-            total = inner @ ones
-            out[at] += picked - np.log(total)
-            if grads:
-                inner *= (scale / total)[:, None]
-                inner[n, own] -= scale
-                self.d_wo[c] += s.T @ inner
-                self.d_bo[c] += inner.sum(0)
-                d[at] += inner @ self.wo[c].T
-        return (out, d) if grads else out
-
-    def back(self, before: np.ndarray, kept: np.ndarray, x: np.ndarray, saved: list, d_states: np.ndarray) -> None:
-        """Backpropagation through one window; it ends where the window begins."""
-        w = self.width
-        dh = np.zeros_like(d_states[0])
-        d_px = np.empty((len(before), dh.shape[0], 3 * w), dtype=np.float32)
-        for t in range(len(before) - 1, -1, -1):
+        cls, word, rows, w = cls[order], word[order], np.arange(len(target)), self.width
+        s = np.ones((len(target), w + 1), dtype=np.float32)
+        s[:, :w] = states[order]
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        own = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])) if low < high]
+
+        outer = s @ self.wc
+        inner = np.empty((len(target), self.per_class), dtype=np.float32)
+        for c, at in own:
+            np.matmul(s[at], self.wo[c], out=inner[at])
+        picked = outer[rows, cls] + inner[rows, word]
+        np.exp(outer, out=outer)
+        np.exp(inner, out=inner)
+        all_outer, all_inner = outer @ np.ones(self.classes, dtype=np.float32), inner @ np.ones(self.per_class, dtype=np.float32)
+        out = np.empty_like(picked)
+        out[order] = picked - np.log(all_outer) - np.log(all_inner)
+        if not grads:
+            return out
+        for x, total, hit in ((outer, all_outer, cls), (inner, all_inner, word)):
+            x *= (scale / total)[:, None]
+            x[rows, hit] -= scale
+        self.d_wc += s.T @ outer
+        d_sorted = outer @ self.wc[:w].T
+        for c, at in own:
+            self.d_wo[c] += s[at].T @ inner[at]
+            d_sorted[at] += inner[at] @ self.wo[c, :w].T
+        d = np.empty_like(d_sorted)
+        d[order] = d_sorted
+        return out, d
+
+    def back(self, before: np.ndarray, kept: np.ndarray, saved: list, d_states: np.ndarray) -> None:
+        """Backpropagation through one window; it ends where the window begins. d_states: (STEPS, width, lanes)."""
+        w, (steps, lanes) = self.width, before.shape
+        dh = np.zeros((w, lanes), dtype=np.float32)
+        d_px, d_g = (np.empty((steps, 3 * w, lanes), dtype=np.float32) for _ in range(2))
+        whole = kept.all(1).tolist()
+        for t in range(steps - 1, -1, -1):
             h, z, r, u, n = saved[t]
-            dh = dh + d_states[t]
+            dh += d_states[t]
+            d, dg = d_px[t], d_g[t]
+            d[:w] = dh * (h - n) * z * (1 - z)
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            d_px[t, :, :w], d_px[t, :, w : 2 * w], d_px[t, :, 2 * w :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            self.d_wh += h.T @ dg
-            dh = dh * z + dg @ self.wh.T
-            if not kept[t].all():
-                dh *= kept[t][:, None]
-        flat = d_px.reshape(-1, 3 * w)
-        self.d_wx += x.reshape(-1, w).T @ flat
-        self.d_b += flat.sum(0)
-        dx, ids = flat @ self.wx.T, before.reshape(-1)
+            d[2 * w :] = dn
+            d[w : 2 * w] = dn * u * r * (1 - r)
+            dg[: 2 * w] = d[: 2 * w]
+            np.multiply(dn, r, out=dg[2 * w :])
+            dh *= z
+            dh += self.wh @ dg
+            if not whole[t]:
+                dh *= kept[t]
+        for t in range(steps):
+            self.d_wh += saved[t][0] @ d_g[t].T
+        flat, ids = d_px.transpose(0, 2, 1).reshape(-1, 3 * w), before.reshape(-1)
         order = np.argsort(ids.astype(np.int16), kind="stable")
         found, start = np.unique(ids[order], return_index=True)
-        self.d_embed[found] += np.add.reduceat(dx[order], start, axis=0)
+        by_word = np.add.reduceat(flat[order], start, axis=0)
+        self.d_wx[:w] += self.embed[found].T @ by_word
+        self.d_wx[w] += by_word.sum(0)
+        self.d_embed[found] += by_word @ self.wx[:w].T
 
 
 def lanes(lengths: np.ndarray, count: int = LANES) -> list[np.ndarray]:
@@ -174,10 +181,10 @@ def document_scores(model: Model, ids: np.ndarray, starts: np.ndarray, lengths:
     """Natural log-probability of each document. Every document has a token at least."""
     out, h = np.zeros(len(lengths)), None
     for word, before, kept, there, doc in windows(ids, starts, lengths, model.first):
-        h = np.zeros((word.shape[1], model.width), dtype=np.float32) if h is None else h[: word.shape[1]]
-        states, _, _ = model.run(before, kept, h, False)
+        h = np.zeros((model.width, word.shape[1]), dtype=np.float32) if h is None else h[:, : word.shape[1]]
+        states, _ = model.run(before, kept, h, False)
         h = states[-1]
-        out += np.bincount(doc[there], model.score(states[there], word[there]), len(out))
+        out += np.bincount(doc[there], model.score(states.transpose(0, 2, 1)[there], word[there]), len(out))
     return out
 
 
@@ -193,15 +200,15 @@ class Trainer:
     def learn(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
         model, h = self.model, None
         for word, before, kept, there, _ in windows(ids, starts, lengths, model.first):
-            h = np.zeros((word.shape[1], model.width), dtype=np.float32) if h is None else h[: word.shape[1]]
-            states, x, saved = model.run(before, kept, h, True)
+            h = np.zeros((model.width, word.shape[1]), dtype=np.float32) if h is None else h[:, : word.shape[1]]
+            states, saved = model.run(before, kept, h, True)
             h = states[-1]
             self.grad[:] = 0
             n = int(there.sum())
-            _, d = model.score(states[there], word[there], True, 1.0 / n)
-            d_states = np.zeros_like(states)
+            _, d = model.score(states.transpose(0, 2, 1)[there], word[there], True, 1.0 / n)
+            d_states = np.zeros((*word.shape, model.width), dtype=np.float32)
             d_states[there] = d
-            model.back(before, kept, x, saved, d_states)
+            model.back(before, kept, saved, d_states.transpose(0, 2, 1))
             self.adam(min(1.0, n / 4096))
 
     def adam(self, share: float) -> None:

@@ -33,7 +33,6 @@ from quarry.llm.near_dedup import words_of
 END = b"\n"
 #: Different words counted in a task before their counts are handed on.
 HELD_WORDS = 300_000
-ROUNDS = 2
 
 
 def tokens_of(text: str) -> list[bytes]:
