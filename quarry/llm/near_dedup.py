@@ -10,8 +10,9 @@
 5. Each class is verified exactly, on full sets, with its most similar leader; then, in rounds, with the best-linked
    class of its buckets if that is in another component. Links and their components are found.
 6. Classes in buckets that still hold two components or more are joined by their rarest shingles (prefix filter with
-   positions); all pairs of different components that this leaves are verified, so no link between components is lost to
-   the choice of leaders. (They are so close to the threshold that signatures tell hardly any apart.)
+   positions) unless parities of their sets show them to differ too much; all pairs of different components that this
+   leaves are verified, so no link between components is lost to the choice of leaders. (They are so close to the
+   threshold that signatures tell hardly any apart.)
 
 Words are runs of characters other than ASCII white space, A to Z in lower case. Fewer words than a shingle: the whole
 sequence is one. Null, empty and blank texts have no shingles and no links. Rows with equal doc_id are one document for
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ LEADERS = 12
 #: Rounds in which a class is compared with the best-linked one of its buckets, likewise.
 HUBS = 1
 BATCH = 16
+#: Words of 64 parities of a class in step 6.
+PARITY_WORDS = 16
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 FOLD = bytes.maketrans(UPPER, LOWER)
@@ -212,12 +216,21 @@ def hub_pairs(held: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     return near.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("b_degree", "b")).alias("h")).select("a", F.col("h.b").alias("b"))
 
 
+def parities(held: DataFrame) -> DataFrame:
+    """node, p0 to p15: 1024 bits, each the parity of how many of the node's shingles fall on it."""
+    place = F.shiftrightunsigned("gram", 54)
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(gram, 54) % 64 as int))")
+    return held.groupBy("node").agg(*(F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == i, bit)), F.lit(0)).alias(f"p{i}") for i in range(PARITY_WORDS)))
+
+
 def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: all pairs of nodes(node, component) of different components that can be similar, by prefix and position.
 
     Shingles are ordered by the number of components that hold them, rarest first; those of one component match nothing. Two sets with the asked similarity share one
     of the first n - ceil(n * percent / 100) + 1 of either, and enough shingles stand behind it. Copies that have too
     many shingles of their own are thus found to be alone without being compared with the others of their group.
+    Each shingle that only one of two sets has changes one parity, so the parities that differ are a lower bound for
+    these shingles, and a pair with too many is none.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,10 +246,13 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     common = held.groupBy("gram").agg(F.countDistinct("component").alias("count"))
     ranked = held.join(common, "gram").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("count", "gram")) - 1)
     first = ranked.where((F.col("count") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
-    first = materialise(first.select("gram", "node", "component", "n", "at"), "prefixes")
-    x, y = (first.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "at"))) for s in "xy")
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    first = materialise(first.join(parities(held), "node").select("gram", "node", "component", "n", "at", *words), "prefixes")
+    x, y = (first.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "at", *words))) for s in "xy")
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in words))
+    few = (100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
     enough = (100 + percent) * (1 + F.least(F.col("n_x") - F.col("at_x") - 1, F.col("n_y") - F.col("at_y") - 1)) >= percent * (F.col("n_x") + F.col("n_y"))
-    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("component_x") < F.col("component_y")) & _near("n_x", "n_y", percent) & enough)
+    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("component_x") < F.col("component_y")) & _near("n_x", "n_y", percent) & enough & few)
     return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
 
 
