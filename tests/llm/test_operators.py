@@ -254,6 +254,28 @@ def test_passages(spark, docs, empty):
     assert cut[1]["text"] == rows[0][1] and cut[3]["text"] == rows[2][1] and len(cut[2]["text"]) == cut[2]["n_chars"] < len(rows[1][1])
 
 
+def test_passages_beyond_the_partners_of_a_seed(spark):
+    stock = [" ".join(f"s{j}w{i}" for i in range(40)) for j in range(8)]
+    r = random.Random(11)
+    rows = [(1, [0]), (8, [0]), (2, [1]), (9, [1]), (5, [0, 1]), (6, [0, 1])] + [(100 + i, r.choices(range(8), k=r.randint(1, 4))) for i in range(40)]
+    texts = {i: [prose(500 + i, 30).replace(" ", f"q{i} ")] + [stock[j] for j in parts] + [prose(900 + i, 30).replace(" ", f"z{i} ")] for i, parts in rows}
+    texts[5][1:3], texts[6][1:3] = [stock[0] + " " + stock[1]], [stock[0] + " " + stock[1]]
+    texts = {i: " ".join(parts).split() for i, parts in texts.items()}
+    found = substring_dedup.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()
+    seen, wanted, held = {}, set(), set()
+    for i in sorted(texts):
+        grams = [tuple(texts[i][p : p + 45]) for p in range(len(texts[i]) - 44)]
+        wanted |= {(i, w) for p, g in enumerate(grams) if g in seen for w in range(p, p + 45)}
+        for g in grams:
+            seen.setdefault(g, i)
+    for row in found:
+        assert row["source_id"] < row["doc_id"] and row["stop"] - row["start"] >= 45
+        if row["identity"] == 1.0 and row["stop"] - row["start"] == row["source_stop"] - row["source_start"]:
+            assert texts[row["doc_id"]][row["start"] : row["stop"]] == texts[row["source_id"]][row["source_start"] : row["source_stop"]]
+        held |= {(row["doc_id"], w) for w in range(row["start"], row["stop"])}
+    assert wanted and wanted <= held
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
