@@ -224,6 +224,10 @@ def test_gru_gradient_and_probabilities():
     assert gru.document_scores(model, ids, starts, lengths).sum() > before + 5
 
 
+def test_language_model_width():
+    assert gru.Model(64, 0).width == 12
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece
 
