@@ -1,7 +1,8 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
 1. Sketch: the set of word shingles of each whole text as 64-bit hashes, its MinHash signature, and a hash of the set.
-2. Texts with equal sets form a class; from here on a class has one row, named by its smallest doc_id.
+2. Texts with equal sets form a class; from here on a class has one row and one text, that of its smallest doc_id, and a
+   key made of the two. Classes that hold the same doc_id are linked.
 3. Bands of the signature put classes into buckets; rows per band are the most that keep the chance that a pair at the
    threshold shares no bucket below miss.
 4. In each bucket every class is paired with one leader, drawn anew for each bucket; of these leaders a class keeps the
@@ -129,25 +130,30 @@ def least_matches(threshold: float, miss: float) -> dict[int, int]:
     return out
 
 
+def text_key():
+    return F.xxhash64(F.col("doc_id").cast("long"), whole_text())
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash, signature; the last two are null without shingles."""
+    """doc_id, key (of doc_id and text), n_shingles, set_hash, signature; the last two are null without shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _multipliers()
         for batch in slices(batches):
-            sets = [shingle_set(t, k) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, k) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([signature(s, factors).astype("<u4").tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_hash", "signature"],
+                ["doc_id", "key", "n_shingles", "set_hash", "signature"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return texts.mapInArrow(sketch, "doc_id long, n_shingles long, set_hash binary, signature binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), whole_text().alias("text"))
+    return texts.mapInArrow(sketch, "doc_id long, key long, n_shingles long, set_hash binary, signature binary")
 
 
 def banded(classes: DataFrame, rows: int) -> DataFrame:
@@ -241,7 +247,8 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
             grams = pa.array(np.concatenate(sets).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(sizes, sizes)), grams], ["node", "component", "n", "gram"])
 
-    held = nodes.join(texts, "node").select("node", "component", "text").mapInArrow(spread, "node long, component long, n long, gram long")
+    # repeated rows have one key and one text
+    held = nodes.join(texts, "node").select("node", "component", "text").dropDuplicates(["node"]).mapInArrow(spread, "node long, component long, n long, gram long")
     held = materialise(held, "grams")
     common = held.groupBy("gram").agg(F.countDistinct("component").alias("count"))
     ranked = held.join(common, "gram").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("count", "gram")) - 1)
@@ -261,10 +268,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     threshold = percent / 100
     sketched = materialise(sketches(docs, k), "sketches")
     shingled = sketched.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    # what a class is named by; rows of its name that have other sets join it to their classes by links of the same name
-    classes = shingled.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("c"))
-    classes = materialise(classes.select("set_hash", F.col("c.doc_id").alias("node"), F.col("c.n_shingles").alias("n"), F.col("c.signature").alias("signature")), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), whole_text().alias("text"))
+    classes = shingled.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key", "n_shingles", "signature")).alias("c"))
+    classes = materialise(classes.select("set_hash", "c.doc_id", F.col("c.key").alias("node"), F.col("c.n_shingles").alias("n"), F.col("c.signature").alias("signature")), "classes")
+    texts = docs.where(F.col("doc_id").cast("long").isNotNull()).select(text_key().alias("node"), whole_text().alias("text"))
+    # rows of one doc_id with other sets are the same document
+    several = shingled.groupBy("doc_id").agg(F.min("set_hash").alias("first"), F.max("set_hash").alias("last")).where("first <> last").select("doc_id", "first")
+    named = lambda c, to: classes.select(F.col("set_hash").alias(c), F.col("node").alias(to))
+    same = shingled.select("doc_id", "set_hash").join(several, "doc_id").where("set_hash <> first").join(named("set_hash", "a"), "set_hash").join(named("first", "b"), "first")
+    same = same.select("a", "b").distinct()
 
     buckets = banded(classes, band_rows(threshold, miss))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("l"))
@@ -277,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     star = materialise(pruned(star, classes, threshold, miss), "star")
 
     best = star.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = materialise(verified(best, texts, k, percent).distinct(), "links")
+    links = materialise(verified(best, texts, k, percent).union(same).distinct(), "links")
     found = materialise(components(links), "found")
     for _ in range(HUBS):
         held = in_shared.select("node", "n", "band", "bucket").join(found, "node", "left").select("node", "n", "band", "bucket", F.coalesce("component", "node").alias("component"))
@@ -292,7 +303,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     pairs = prefix_pairs(materialise(open_, "open"), texts, k, percent)
     found = materialise(components(links.union(verified(pairs, texts, k, percent))), "found")
 
-    named = classes.join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component"))
+    grouped = classes.join(found, "node", "left").select("set_hash", "doc_id", F.coalesce("component", "node").alias("group"))
+    lowest = grouped.groupBy("group").agg(F.min("doc_id").alias("component"))
+    named = grouped.join(lowest, "group").select("set_hash", "component")
     result = sketched.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

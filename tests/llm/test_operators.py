@@ -127,6 +127,17 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    find = lambda x: {tuple(v) for v in near_dedup.near_duplicates(spark.createDataFrame(x, "doc_id long, text string")).collect()}
+    x, y = prose(70, 90), prose(71, 90)
+    assert {v[2] for v in find([(3, x), (5, x), (5, x), (5, y), (7, y)])} == {3}
+    # the last step alone, on a text that is there twice
+    nodes = spark.createDataFrame([(1, 1), (2, 2)], "node long, component long")
+    a = " ".join(f"w{i}" for i in range(300))
+    texts = spark.createDataFrame([(1, a), (1, a), (2, a + " tail")], "node long, text string")
+    assert near_dedup.prefix_pairs(nodes, texts, 3, 85).count() == 1
+
+
 def test_licences(spark, docs, empty):
     import duckdb
 
