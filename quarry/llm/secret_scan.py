@@ -4,8 +4,9 @@ A candidate is a run of ALPHABET characters of at least WINDOW. It is judged by
 letters and digits of one case, base64), each with a threshold of bits per character of its own. A window of WINDOW
 characters slides over it; the sum of n * log2(n) of its character counts is updated for the character that enters and
 the one that leaves, so a candidate costs a step for each character. Windows over the threshold are joined to spans.
-Candidates that match the allow-list (identifiers with the form of a UUID, words that say that they are examples,
-strings of letters alone) add no span. Base patterns are not subject to it.
+The allow-list holds identifiers with the form of a UUID, where a candidate is cut, strings of letters or of digits alone,
+and words that say that they are examples: windows that lie within WINDOW characters of such a word, and with it between
+the same two of / = _, are passed over, the rest of the candidate is not. Base patterns are not subject to it.
 
 Spans are kind:start:end in code points, end exclusive, and may overlap between kinds. Null and empty texts have none.
 Repeated rows each give a row, null doc_ids stay null, extra columns are kept out, an empty table gives no rows.
@@ -39,17 +40,15 @@ CLASSES = (
     ("code", re.compile("[0-9a-z]+|[0-9A-Z]+"), 3.6),
     ("base64", re.compile("[A-Za-z0-9+/_=-]+"), 3.8),
 )
-ALLOW = (
-    re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile("(?i)(example|sample|dummy|placeholder|changeme|test|fake|xxxx)"),
-    re.compile(r"[A-Za-z_/=+-]+\Z"),
-    re.compile(r"[0-9_/=+-]+\Z"),
-)
+UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+WORD = re.compile("(?i)example|sample|dummy|placeholder|changeme|test|fake|xxxx")
+PART = re.compile("[^/=_]+")
+PLAIN = re.compile("[A-Za-z_/=+-]+|[0-9_/=+-]+")
 N_LOG_N = [0.0] + [n * log2(n) for n in range(1, WINDOW + 2)]
 
 
-def windows(text: str, threshold: float, size: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans of text that are covered by windows with more than threshold bits per character."""
+def windows(text: str, threshold: float, size: int = WINDOW, allowed: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Spans of text that are covered by windows with more than threshold bits per character, without the windows inside one of allowed."""
     count: dict[str, int] = {}
     total, spans = 0.0, []
     for i, c in enumerate(text):
@@ -63,6 +62,8 @@ def windows(text: str, threshold: float, size: int = WINDOW) -> list[tuple[int,
             count[gone] = n - 1
         if i >= size - 1 and log2(size) - total / size > threshold:
             start = i - size + 1
+            if any(a <= start and i < b for a, b in allowed):
+                continue
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -70,14 +71,22 @@ def windows(text: str, threshold: float, size: int = WINDOW) -> list[tuple[int,
     return spans
 
 
+def near_words(run: str) -> list[tuple[int, int]]:
+    """Where windows are passed over, because of a word of the same part."""
+    if not WORD.search(run):
+        return []
+    return [(max(p.start(), m.start() - WINDOW), min(p.end(), m.end() + WINDOW)) for p in PART.finditer(run) for m in WORD.finditer(run, *p.span())]
+
+
 def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any(a.match(run) if a.pattern.endswith(r"\Z") else a.search(run) for a in ALLOW):
-            continue
-        kind, _, threshold = next(c for c in CLASSES if c[1].fullmatch(run))
-        found += [(f"entropy_{kind}", m.start() + a, m.start() + b) for a, b in windows(run, threshold)]
+        at = m.start()
+        for run in UUID.split(m.group()):
+            if len(run) >= WINDOW and not PLAIN.fullmatch(run):
+                kind, _, threshold = next(c for c in CLASSES if c[1].fullmatch(run))
+                found += [(f"entropy_{kind}", at + a, at + b) for a, b in windows(run, threshold, allowed=near_words(run))]
+            at += len(run) + 36  # the length of a UUID
     return found
 
 

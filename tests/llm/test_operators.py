@@ -96,6 +96,15 @@ def test_entropy_windows_by_definition():
     assert not secret_scan.entropy_spans("123e4567-e89b-12d3-a456-426614174000") and not secret_scan.entropy_spans("EXAMPLE7f3a9c1e5b2d8f4a6c0e")
 
 
+def test_allow_list_spares_only_what_it_matches():
+    key = "q7Zk2Rv9Lw4Xc8Nb5Tm1"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for before in ("/sample/", uuid, f"{key}{key[::-1]}AbTeStCd{key}"):
+        spans = secret_scan.entropy_spans(before + key)
+        assert any(a <= len(before) and b >= len(before) + len(key) for _, a, b in spans)
+    assert not secret_scan.entropy_spans("sample" + key) and not secret_scan.entropy_spans(f"/items/{uuid}")
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words)} if 0 < len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
