@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import shared_dir
+
 #: Rows that a Python worker turns into Python objects at once.
 SLICE_ROWS = 256
 
@@ -18,15 +19,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a local one is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def write_scratch(df: DataFrame, name: str, **options: str) -> str:
     """Writes df as Parquet into the shared folder and returns the path: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +26,40 @@ def write_scratch(df: DataFrame, name: str, **options: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a scratch table, wherever Hadoop's file systems keep it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Scratch tables of one job. Those that it still holds when its block ends are removed; what is to outlive it is written with write_scratch.
+
+    A table is dropped as soon as nothing reads it any more, so that the store holds a few steps of a job and not all of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = write_scratch(df, name)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.held[id(read)] = (read, path)
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            found = self.held.pop(id(t), None)
+            if found:
+                remove(self.spark, found[1])
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.held.values()])
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df, name))
 

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import gru, license_scan, lm_scoring, near_dedup, nearest, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_output
 from quarry.llm.queries import BYTE_BPE, PIECES, VOCABULARIES
@@ -300,6 +301,63 @@ def test_passages_beyond_the_partners_of_a_seed(spark):
     assert wanted and wanted <= held
 
 
+def edited(r: random.Random, words: list[str], rate: float) -> list[str]:
+    """words with a share of them replaced, left out or followed by another."""
+    out = []
+    for w in words:
+        x = r.random()
+        out += [w] if x >= rate else [f"new{r.randint(0, 99)}"] if x < rate / 2 else [] if x < 3 * rate / 4 else [w, f"new{r.randint(0, 99)}"]
+    return out
+
+
+def test_fuzzy_passages_by_alignment(spark):
+    r = random.Random(5)
+    word = lambda: f"w{int(r.paretovariate(0.3)) % 3000}"
+    rows, planted = [], []
+    for i in range(60):
+        passage = [word() for _ in range(r.randint(70, 140))]
+        copy = edited(r, passage, 0.06)
+        pad = lambda n: [word() for _ in range(n)]
+        one, two = pad(r.randint(0, 80)), pad(r.randint(0, 80))
+        rows += [(2 * i, one + passage + pad(20)), (2 * i + 1, two + copy + pad(20))]
+        # by brute force: the share of words of the longest common subsequence
+        row = [0] * (len(copy) + 1)
+        for u in passage:
+            last = 0
+            for j, v in enumerate(copy, 1):
+                last, row[j] = row[j], last + 1 if u == v else max(row[j], row[j - 1])
+        if row[-1] >= 0.8 * max(len(passage), len(copy)) and len(copy) >= 45:
+            planted.append((2 * i + 1, 2 * i, len(two), len(two) + len(copy)))
+    found = substring_dedup.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()
+    held = {}
+    for f in found:
+        held.setdefault((f["doc_id"], f["source_id"]), set()).update(range(f["start"], f["stop"]))
+    caught = sum(len(held.get((d, s), set()) & set(range(a, b))) >= 0.6 * (b - a) for d, s, a, b in planted)
+    assert len(planted) >= 55 and caught >= 0.95 * len(planted)
+    assert set(held) <= {(d, s) for d, s, _, _ in planted} | {(2 * i + 1, 2 * i) for i in range(60)}
+
+
+def test_common_seeds_are_dealt_and_change_nothing(spark, monkeypatch):
+    stock = prose(77, 60)
+    frame = spark.createDataFrame([(i, f"{prose(300 + i, 20)} {stock} {prose(700 + i, 20)}") for i in range(300)], "doc_id long, text string")
+    plain = {tuple(r) for r in substring_dedup.passages(frame).collect()}
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    assert len(substring_dedup.common_seeds(substring_dedup.seeds(frame, 5, 8, 45))) > 3
+    assert {tuple(r) for r in substring_dedup.passages(frame).collect()} == plain and {r[0] for r in plain} == set(range(1, 300))
+
+
+def test_cutting_keeps_to_its_own_row(spark):
+    stock = prose(88, 70)
+    rows = [(1, stock + " " + prose(89, 20), 0), (2, prose(90, 20) + " " + stock, 1), (2, prose(91, 151), 2), (None, stock, 3), (3, None, 4), (2, prose(90, 20) + " " + stock, 5), (4, "", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, cut_id long").withColumn("start", F.lit(1)).withColumn("text_hash", F.lit("x"))
+    cut = {r["cut_id"]: r["text"] for r in substring_dedup.cut_passages(frame).collect()}
+    assert set(cut) == set(range(7)) and all(cut[i] == rows[i][1] for i in (0, 2, 3, 4, 6))
+    assert len(cut[1].split()) <= 25 and cut[1] == cut[5]
+    assert substring_dedup.cut_passages(frame.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        substring_dedup.cut_passages(frame.withColumn(substring_dedup.CUT[0], F.lit(1)))
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
