@@ -1,12 +1,14 @@
 """Secret scans: patterns, and windows of high Shannon entropy over candidate strings.
 
-A candidate is a run of ALPHABET characters of at least WINDOW. It is judged by its narrowest character class (hex,
-letters and digits of one case, base64), each with a threshold of bits per character of its own. A window of WINDOW
-characters slides over it; the sum of n * log2(n) of its character counts is updated for the character that enters and
-the one that leaves, so a candidate costs a step for each character. Windows over the threshold are joined to spans.
-The allow-list holds identifiers with the form of a UUID, where a candidate is cut, strings of letters or of digits alone,
-and words that say that they are examples: windows that lie within WINDOW characters of such a word, and with it between
-the same two of / = _, are passed over, the rest of the candidate is not. Base patterns are not subject to it.
+A candidate is a run of ALPHABET characters of at least WINDOW. In it each character class (hex, letters and digits of one
+case, base64) has its own runs, and a threshold of bits per character of its own; so hex digits behind "key=" are judged
+as hex digits. A window of WINDOW characters slides over a run; the sum of n * log2(n) of its character counts is updated
+for the character that enters and the one that leaves, so a run costs a step for each character. Windows over the
+threshold are joined to spans; a span inside one of a narrower class is left out.
+The allow-list holds identifiers with the form of a UUID, where a candidate is cut, runs of letters or of digits alone,
+and words that say that they are examples (the short ones only if no letter touches them): windows that lie within
+WINDOW characters of such a word, and with it between the same two of / = _ -, are passed over, the rest of the candidate
+is not. Base patterns are not subject to it.
 
 Spans are kind:start:end in code points, end exclusive, and may overlap between kinds. Null and empty texts have none.
 Repeated rows each give a row, null doc_ids stay null, extra columns are kept out, an empty table gives no rows.
@@ -34,15 +36,14 @@ HEX = re.compile("[0-9a-f]{24,}")
 ASSIGN_LEAST = 6
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
-#: Character classes, narrowest first: name, pattern, bits per character over a window of 20 (whose most is log2(20) = 4.32).
-CLASSES = (
-    ("hex", re.compile("[0-9a-f]+|[0-9A-F]+"), 3.0),
-    ("code", re.compile("[0-9a-z]+|[0-9A-Z]+"), 3.6),
-    ("base64", re.compile("[A-Za-z0-9+/_=-]+"), 3.8),
+#: Character classes, narrowest first: name, runs, bits per character over a window of 20 (whose most is log2(20) = 4.32).
+CLASSES = tuple(
+    (name, [re.compile("[%s]{%d,}" % (chars, WINDOW)) for chars in alphabets], threshold)
+    for name, alphabets, threshold in (("hex", ("0-9a-f", "0-9A-F"), 3.0), ("code", ("0-9a-z", "0-9A-Z"), 3.6), ("base64", ("A-Za-z0-9+/_=-",), 3.8))
 )
-UUID = re.compile("[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-WORD = re.compile("(?i)example|sample|dummy|placeholder|changeme|test|fake|xxxx")
-PART = re.compile("[^/=_]+")
+UUID = re.compile("(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])")
+WORD = re.compile("(?i)example|sample|placeholder|changeme|(?<![a-z])(?:test|fake|dummy|x{4,})(?![a-z])")
+PART = re.compile("[^/=_-]+")
 PLAIN = re.compile("[A-Za-z_/=+-]+|[0-9_/=+-]+")
 N_LOG_N = [0.0] + [n * log2(n) for n in range(1, WINDOW + 2)]
 
@@ -84,8 +85,15 @@ def entropy_spans(text: str) -> list[tuple[str, int, int]]:
         at = m.start()
         for run in UUID.split(m.group()):
             if len(run) >= WINDOW and not PLAIN.fullmatch(run):
-                kind, _, threshold = next(c for c in CLASSES if c[1].fullmatch(run))
-                found += [(f"entropy_{kind}", at + a, at + b) for a, b in windows(run, threshold, allowed=near_words(run))]
+                own: list[tuple[str, int, int]] = []
+                allowed = near_words(run)
+                for kind, patterns, threshold in CLASSES:
+                    new = []
+                    for part in (p for pattern in patterns for p in pattern.finditer(run) if not PLAIN.fullmatch(p.group())):
+                        low = part.start()
+                        new += [(f"entropy_{kind}", low + a, low + b) for a, b in windows(part.group(), threshold, allowed=[(a - low, b - low) for a, b in allowed])]
+                    own += [s for s in new if not any(a <= s[1] and s[2] <= b for _, a, b in own)]
+                found += [(kind, at + a, at + b) for kind, a, b in own]
             at += len(run) + 36  # the length of a UUID
     return found
 
