@@ -3,8 +3,9 @@
 A vector is cut into pairs of dimensions, each coded in four bits. Codes and codebooks minimise the anisotropic loss: the
 residual along the vector counts eta times as much as the residual across it, since it moves the largest inner products
 most. Codebooks are fitted on a bounded sample (fit_rows, by hash of the id); every vector is coded. Blocks of queries
-then meet blocks of coded vectors: a table of 16 inner products for each pair of dimensions gives approximate scores, the
-best rerank * k of each block are scored exactly in double precision, and each query's best k overall are kept.
+then meet blocks of codes, and codes alone: a table of 16 inner products for each pair of dimensions gives approximate
+scores, and a task keeps the best rerank * k of each query over all the blocks it sees. The best rerank * k of each query
+overall meet their vectors in joins by id and are scored exactly in double precision; the best k are kept.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components take no
 part; nor do null ids. Of rows with equal id the one with the least vector counts. Ties go to the smaller id. Fewer than
@@ -21,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise
+from quarry.llm.common import Scratch, write_scratch
 
 CODES = 16
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def eta(dim: int, threshold: float) -> float:
@@ -94,69 +96,102 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return some.where(fine).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.2, fit_rows: int = 4096, rerank: int = 6, block_rows: int = 4096, query_rows: int = 256) -> DataFrame:
+def sampled(rows: DataFrame, fit_rows: int) -> list[list[float]]:
+    """fit_rows vectors (all, if fewer), the first by hash of their ids; about twice as many are sorted."""
+    parts = max(1, rows.count() // (2 * fit_rows))
+    own = F.xxhash64("id")
+    return [r["v"] for r in rows.where(F.pmod(own, F.lit(parts)) == 0).orderBy(own, "id").limit(fit_rows).collect()]
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.2, fit_rows: int = 4096, rerank: int = 20, block_rows: int = 16384, query_rows: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by every, the k nearest others."""
-    spark, out = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
-    rows = materialise(usable(vectors, id_col, vector_col), "vectors")
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()]
-    if not sample:
-        return spark.createDataFrame([], out)
-    dim = Counter(map(len, sample)).most_common(1)[0][0]
+    spark = vectors.sparkSession
+    with Scratch(spark) as s:
+        rows = s.table(usable(vectors, id_col, vector_col), "vectors")
+        sample = sampled(rows, fit_rows)
+        if not sample:
+            return spark.createDataFrame([], FOUND)
+        dim = Counter(map(len, sample)).most_common(1)[0][0]
+        fitting = rows.where(F.size("v") == dim)
+        asked = fitting.where(F.col("id") % every == 0)
+        near = shortlist(s, fitting, asked, [v for v in sample if len(v) == dim], rerank * k, threshold, block_rows, query_rows)
+        met = near.join(fitting.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        exact = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = met.select("query_id", "vec_id", exact.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        path = write_scratch(best.select("query_id", "rank", "vec_id", "score"), "nearest")
+    return spark.read.schema(FOUND).parquet(path)
+
+
+def shortlist(s: Scratch, fitting: DataFrame, asked: DataFrame, sample: list[list[float]], most: int, threshold: float, block_rows: int, query_rows: int) -> DataFrame:
+    """query_id, vec_id: for each row of asked the most best rows of fitting by codes, without itself."""
+    dim = len(sample[0])
     even = dim + dim % 2
     weight = eta(even, threshold)
-    known = np.array([np.pad(v, (0, even - dim)) for v in sample if len(v) == dim])
-    books = fit(known, weight)
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        flat = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        return np.pad(flat, ((0, 0), (0, even - dim)))
+    books = fit(np.array([np.pad(v, (0, even - dim)) for v in sample]), weight)
+    double = (even // 2) % 2 == 0
 
-    def pack(size: int, coded: bool):
+    def blocks(size: int, coded: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, size):
                     part = batch.slice(at, size)
-                    ids, x = part.column(0).to_numpy(), matrix(part.column(1))
+                    ids = part.column(0).to_numpy()
                     order = np.argsort(ids)
-                    ids, x = ids[order], x[order]
-                    codes = codes_of(x, books, weight).T if coded else np.zeros(0, np.uint8)
-                    both = (codes[0::2] * CODES + codes[1::2]) if coded and len(codes) % 2 == 0 else codes
-                    yield pa.RecordBatch.from_pylist([{"ids": ids.astype("<i8").tobytes(), "x": x.astype("<f8").tobytes(), "codes": np.ascontiguousarray(both).tobytes()}], schema=pa.schema([("ids", pa.binary()), ("x", pa.binary()), ("codes", pa.binary())]))
+                    x = np.pad(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), ((0, 0), (0, even - dim)))[order]
+                    if coded:
+                        x = codes_of(x, books, weight).T
+                        if double:  # two codes are a byte
+                            x = x[0::2] * CODES + x[1::2]
+                    else:
+                        x = x.astype("<f8")
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids[order].astype("<i8"), np.ascontiguousarray(x))], ["ids", "x"])
 
         return run
 
-    shape = "ids binary, x binary, codes binary"
-    fitting = rows.where(F.size("v") == dim)
-    wide = materialise(fitting.mapInArrow(pack(block_rows, True), shape), "coded")
-    asked = materialise(fitting.where(F.col("id") % every == 0).mapInArrow(pack(query_rows, False), shape), "queries")
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    double = (even // 2) % 2 == 0
+    codes = s.table(fitting.mapInArrow(blocks(block_rows, True), "ids binary, x binary"), "codes")
+    queries = s.table(asked.mapInArrow(blocks(query_rows, False), "ids binary, x binary"), "queries")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block of queries meets one block of codes after the other; the best of each query so far are held."""
+        own, best, q_ids, tables = None, [], None, None
+
+        def out() -> pa.RecordBatch:
+            held = [_best(ids, score, most) for ids, score in best]
+            counts = [len(ids) for ids, _ in held]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate([x for x, _ in held])), pa.array(np.concatenate([x for _, x in held]))], ["query_id", "vec_id", "near"])
+
         for batch in batches:
             for at in range(batch.num_rows):
-                q_ids, q, ids, x, codes = (batch.column(c)[at].as_buffer() for c in range(5))
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                q, x = np.frombuffer(q, "<f8").reshape(len(q_ids), even), np.frombuffer(x, "<f8").reshape(len(ids), even)
-                codes = np.frombuffer(codes, np.uint8).reshape(-1, len(ids))
-                tables = np.einsum("qmd,mcd->qmc", q.reshape(len(q), even // 2, 2), books).astype(np.float32)
-                if double:  # one table for two pairs of dimensions: both codes are a byte
-                    tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, CODES * CODES)
-                found: list[list] = [[], [], []]
-                for i, own in enumerate(q_ids.tolist()):
+                some, q, ids, code = (batch.column(c)[at].as_buffer() for c in range(4))
+                if own is None or some != own:
+                    if own is not None:
+                        yield out()
+                    own, q_ids = some, np.frombuffer(some, "<i8")
+                    q = np.frombuffer(q, "<f8").reshape(len(q_ids), even // 2, 2)
+                    tables = np.einsum("qmd,mcd->qmc", q, books).astype(np.float32)
+                    if double:  # one table for two pairs of dimensions
+                        tables = (tables[:, 0::2, :, None] + tables[:, 1::2, None, :]).reshape(len(q), -1, CODES * CODES)
+                    best = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))] * len(q_ids)
+                ids = np.frombuffer(ids, "<i8")
+                code = np.frombuffer(code, np.uint8).reshape(-1, len(ids))
+                for i, mine in enumerate(q_ids.tolist()):
                     score = np.zeros(len(ids), dtype=np.float32)
-                    for table, code in zip(tables[i], codes):
-                        score += table[code]
-                    score[ids == own] = -np.inf
-                    some = best_rows(score, rerank * k)
-                    some = some[ids[some] != own]
-                    exact = x[some] @ q[i]
-                    order = np.lexsort((ids[some], -exact))[:k]
-                    found[0] += [own] * len(order)
-                    found[1] += ids[some][order].tolist()
-                    found[2] += exact[order].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    met = asked.crossJoin(wide).select("q_ids", "q_x", "ids", "x", "codes").mapInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    for table, c in zip(tables[i], code):
+                        score += table[c]
+                    score[ids == mine] = -np.inf
+                    new = best_rows(score, most)
+                    new = new[score[new] > -np.inf]
+                    both = np.concatenate([best[i][0], ids[new]]), np.concatenate([best[i][1], score[new]])
+                    best[i] = both if len(both[0]) <= 4 * most else _best(*both, most)
+        if own is not None:
+            yield out()
+
+    met = queries.select(F.col("ids").alias("q_ids"), F.col("x").alias("q")).crossJoin(codes).select("q_ids", "q", "ids", "x").mapInArrow(meet, "query_id long, vec_id long, near float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    return met.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).select("query_id", "vec_id")
+
+
+def _best(ids: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    own = best_rows(score, most)
+    return ids[own], score[own]
