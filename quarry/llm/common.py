@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,18 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have most_bytes together, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            gone = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, gone + most_bytes, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def whole_text(column: str = "text"):
     """The text, a null one as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

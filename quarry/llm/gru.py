@@ -12,20 +12,36 @@ import numpy as np
 
 STEPS = 16
 LANES = 512
+#: How many classes there are of each size, in multiples of the least; the rest are of the largest.
+TIERS = ((1, 8), (2, 12), (4, 24), (8, None))
+
+
+def class_bounds(words: int, least: int) -> list[int]:
+    """Where classes of words begin, and where the last ends. Frequent words share small classes, so a token costs few exponentials."""
+    bounds = [0]
+    for times, count in TIERS:
+        while bounds[-1] < words and count != 0:
+            bounds.append(min(words, bounds[-1] + times * least))
+            count = None if count is None else count - 1
+    return bounds
 
 
 class Model:
-    """Ids below size are words, ordered by frequency; id i is word i % per_class of class i // per_class. first stands before a document.
+    """Ids below size - 1 are words, ordered by frequency, and lie in classes that follow each other; the last id stands for all other words and is a class of its own. first stands before a document.
 
-    States lie with one row for each of their numbers, so that gates are contiguous. The last row of wx, wc and wo is a
-    bias.
+    States lie with one row for each of their numbers, so that gates are contiguous. The last row of wx, wc and of each
+    class in wo is a bias.
     """
 
     def __init__(self, size: int, first: int, width: int = 12, per_class: int = 32, flat: np.ndarray | None = None, counts: np.ndarray | None = None):
-        self.size, self.first, self.width, self.per_class = size, first, width, per_class
-        self.classes = -(-size // per_class)
-        c, s, h = self.classes, per_class, width
-        shapes = [(c * s, h), (h + 1, 3 * h), (h, 3 * h), (h + 1, c), (c, h + 1, s)]
+        self.size, self.first, self.width = size, first, width
+        self.begins = np.array([*class_bounds(size - 1, per_class), size])
+        self.sizes = np.diff(self.begins)
+        self.classes = len(self.sizes)
+        self.class_of = np.repeat(np.arange(self.classes), self.sizes)
+        self.place = np.arange(size) - self.begins[self.class_of]
+        h, c = width, self.classes
+        shapes = [(size, h), (h + 1, 3 * h), (h, 3 * h), (h + 1, c), *((h + 1, n) for n in self.sizes.tolist())]
         self.bounds = np.cumsum([0, *(int(np.prod(x)) for x in shapes)])
         self.shapes = shapes
         self.flat = np.zeros(self.bounds[-1], dtype=np.float32) if flat is None else np.array(flat, dtype=np.float32)
@@ -35,22 +51,23 @@ class Model:
             for x in (self.embed, self.wx[:h], self.wh):
                 x[:] = rng.normal(0, 0.5 / np.sqrt(h), x.shape)
             # the biases begin as the counts have it: before training the model is the corpus' word frequencies
-            n = np.full(c * s, 1e-9)
-            n[:size] = (np.ones(size) if counts is None else counts) + 1e-3
-            n = n.reshape(c, s)
-            self.wc[h] = np.log(n.sum(1))
-            self.wo[:, h] = np.log(n / n.sum(1, keepdims=True))
+            n = (np.ones(size) if counts is None else counts) + 1e-3
+            for i, (low, high) in enumerate(zip(self.begins[:-1], self.begins[1:])):
+                self.wc[h, i] = np.log(n[low:high].sum())
+                self.wo[i][h] = np.log(n[low:high] / n[low:high].sum())
 
     def views(self, flat: np.ndarray, prefix: str) -> None:
-        names = ("embed", "wx", "wh", "wc", "wo")
-        for name, low, high, shape in zip(names, self.bounds[:-1], self.bounds[1:], self.shapes):
-            setattr(self, prefix + name, flat[low:high].reshape(shape))
+        found = [flat[low:high].reshape(shape) for low, high, shape in zip(self.bounds[:-1], self.bounds[1:], self.shapes)]
+        for name, x in zip(("embed", "wx", "wh", "wc"), found):
+            setattr(self, prefix + name, x)
+        setattr(self, prefix + "wo", found[4:])
 
     def run(self, before: np.ndarray, kept: np.ndarray, h: np.ndarray, keep: bool):
         """States of a window. before: ids that went before (STEPS, lanes); kept: 0 where a document begins; h: (width, lanes)."""
         w, (steps, lanes) = self.width, before.shape
-        # what a word adds to the gates is a row of one table
-        px = np.ascontiguousarray((self.embed @ self.wx[:w] + self.wx[w])[before].transpose(0, 2, 1))
+        # what a word adds to the gates
+        px = (self.embed @ self.wx[:w] + self.wx[w])[before] if self.size < before.size else self.embed[before] @ self.wx[:w] + self.wx[w]
+        px = np.ascontiguousarray(px.transpose(0, 2, 1))
         states = np.empty((steps, w, lanes), dtype=np.float32)
         whole, wh, saved = kept.all(1).tolist(), np.ascontiguousarray(self.wh.T), []
         for t in range(steps):
@@ -81,34 +98,41 @@ class Model:
         Tokens are sorted by class, so that each class has its own run of rows. Weights are too small (the gradient is
         clipped) for the exponentials to overflow, so no maximum is taken off.
         """
-        cls, word = np.divmod(target, self.per_class)
+        cls, w = self.class_of[target], self.width
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        cls, word, rows, w = cls[order], word[order], np.arange(len(target)), self.width
+        cls, word, rows = cls[order], self.place[target][order], np.arange(len(target))
         s = np.ones((len(target), w + 1), dtype=np.float32)
         s[:, :w] = states[order]
         cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        own = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])) if low < high]
+        own = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])) if low < high and self.sizes[c] > 1]
 
         outer = s @ self.wc
-        inner = np.empty((len(target), self.per_class), dtype=np.float32)
-        for c, at in own:
-            np.matmul(s[at], self.wo[c], out=inner[at])
-        picked = outer[rows, cls] + inner[rows, word]
+        found = outer[rows, cls]
         np.exp(outer, out=outer)
-        np.exp(inner, out=inner)
-        all_outer, all_inner = outer @ np.ones(self.classes, dtype=np.float32), inner @ np.ones(self.per_class, dtype=np.float32)
-        out = np.empty_like(picked)
-        out[order] = picked - np.log(all_outer) - np.log(all_inner)
+        total = outer @ np.ones(self.classes, dtype=np.float32)
+        found -= np.log(total)
+        if grads:
+            outer *= (scale / total)[:, None]
+            outer[rows, cls] -= scale
+            self.d_wc += s.T @ outer
+            d_sorted = outer @ self.wc[:w].T
+        for c, at in own:
+            inner = s[at] @ self.wo[c]
+            hit = word[at]
+            mine = rows[: len(hit)]
+            picked = inner[mine, hit]
+            np.exp(inner, out=inner)
+            total = inner @ np.ones(inner.shape[1], dtype=np.float32)
+            found[at] += picked - np.log(total)
+            if grads:
+                inner *= (scale / total)[:, None]
+                inner[mine, hit] -= scale
+                self.d_wo[c] += s[at].T @ inner
+                d_sorted[at] += inner @ self.wo[c][:w].T
+        out = np.empty_like(found)
+        out[order] = found
         if not grads:
             return out
-        for x, total, hit in ((outer, all_outer, cls), (inner, all_inner, word)):
-            x *= (scale / total)[:, None]
-            x[rows, hit] -= scale
-        self.d_wc += s.T @ outer
-        d_sorted = outer @ self.wc[:w].T
-        for c, at in own:
-            self.d_wo[c] += s[at].T @ inner[at]
-            d_sorted[at] += inner[at] @ self.wo[c, :w].T
         d = np.empty_like(d_sorted)
         d[order] = d_sorted
         return out, d
@@ -136,7 +160,7 @@ class Model:
         for t in range(steps):
             self.d_wh += saved[t][0] @ d_g[t].T
         flat, ids = d_px.transpose(0, 2, 1).reshape(-1, 3 * w), before.reshape(-1)
-        order = np.argsort(ids.astype(np.int16), kind="stable")
+        order = np.argsort(ids.astype(np.int32), kind="stable")
         found, start = np.unique(ids[order], return_index=True)
         by_word = np.add.reduceat(flat[order], start, axis=0)
         self.d_wx[:w] += self.embed[found].T @ by_word

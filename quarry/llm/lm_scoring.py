@@ -1,12 +1,13 @@
 """Language-model scores: corpus word frequencies, and a gated recurrent model that is trained on the corpus.
 
 1. Words of all training documents are counted (a shuffle by word after counting in each task).
-2. The hot_words most frequent ones go to every task with their counts; documents' other words meet their counts in a
-   join by word, so the vocabulary may be of any size.
-3. The recurrent model knows the model_words most frequent words; the others are one class of words to it, and their
-   probability is that class' times their add-one share of its training tokens. Every partition of the training
-   documents trains a copy of the model, in two rounds (an eighth of the documents, then the rest); after each round the
-   copies are averaged by tokens with a sum by parameter. Each training document is learnt from once.
+2. The most frequent words, hot_words at most, go to every task with their counts; documents' other words meet their
+   counts in a join by word, so the vocabulary may be of any size.
+3. The recurrent model knows the model_words most frequent words, in classes that are the larger the rarer their words
+   are; the others are one class of words to it, and their probability is that class' times their add-one share of its
+   training tokens. Every partition of the training documents trains a copy of the model, in two rounds (an eighth of the
+   documents, then the rest); after each round the copies are averaged by tokens, with a running sum for each piece of
+   PIECE parameters. Each training document is learnt from once.
 4. Every whole text is scored with its state carried through.
 
 Tokens are runs of characters other than ASCII white space, A to Z in lower case, and one end, which is counted as a
@@ -26,13 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, slices, whole_text
+from quarry.llm.common import Scratch, slices, text_slices, whole_text, write_scratch
 from quarry.llm.gru import Model, Trainer, document_scores
 from quarry.llm.near_dedup import words_of
 
 END = b"\n"
 #: Different words counted in a task before their counts are handed on.
 HELD_WORDS = 300_000
+#: Parameters that are averaged together.
+PIECE = 1 << 14
+#: Steps of frequency per factor of two that hot words are chosen by.
+FINE = 64
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -84,36 +92,84 @@ def _documents(words: Words, texts: list[str]) -> tuple[list[list[bytes]], np.nd
     return tokens, ranks, np.cumsum(lengths) - lengths, lengths
 
 
-def trained(texts: DataFrame, words, model_words: int, counts: np.ndarray, flat: np.ndarray | None) -> np.ndarray:
+def hot_of(counts: DataFrame, most: int) -> list[tuple[str, int]]:
+    """The most frequent words(word, n), most at most, by n and word: all above a frequency that comes from a histogram with FINE steps for a factor of two.
+
+    Words of one step are all in or all out; if the first step alone had more than most, none would be.
+    """
+    step = F.floor(F.log2("n") * FINE)
+    sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, least = 0, None
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    if least is None:
+        return []
+    return sorted(((r["word"], r["n"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def averaged(copies: DataFrame) -> np.ndarray | None:
+    """The sum of copies(piece, seen, x) by tokens seen, over all tokens, one parameter after the other."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, total = None, 0, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["piece", "x"])
+
+        for batch in batches:
+            for piece, n, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if piece != own:
+                    if own is not None:
+                        yield out()
+                    own, seen, total = piece, 0, 0.0
+                seen, total = seen + n, total + n * np.frombuffer(x, "<f4").astype(np.float64)
+        if own is not None:
+            yield out()
+
+    rows = copies.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, x binary").collect()
+    return np.concatenate([np.frombuffer(r["x"], "<f4") for r in sorted(rows, key=lambda r: r["piece"])]) if rows else None
+
+
+def trained(texts: DataFrame, words, model_words: int, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Parameters after one round over texts: the average of the partitions' copies by their tokens."""
+    start = texts.sparkSession.sparkContext.broadcast(flat)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words.value
-        model = Model(own.known + 1, own.first, flat=flat, counts=counts)
+        model = Model(own.known + 1, own.first, flat=start.value)
         trainer, seen = Trainer(model), 0
-        for batch in batches:
-            if batch.num_rows:
-                _, ranks, starts, lengths = _documents(own, batch.column(0).to_pylist())
-                trainer.learn(own.ids(ranks), starts, lengths)
-                seen += len(ranks)
+        for batch in text_slices(batches, 0):
+            _, ranks, starts, lengths = _documents(own, batch.column(0).to_pylist())
+            trainer.learn(own.ids(ranks), starts, lengths)
+            seen += len(ranks)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat.astype(np.float64)], pa.list_(pa.float64()))], ["seen", "flat"])
+            pieces = [model.flat[at : at + PIECE].astype("<f4").tobytes() for at in range(0, len(model.flat), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "seen", "x"])
 
-    copies = texts.select("text").mapInArrow(learn, "seen long, flat array<double>")
-    every = copies.select("seen", F.posexplode("flat").alias("i", "x")).groupBy("i").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x"))
-    found = every.toPandas().sort_values("i")["x"].to_numpy(dtype=np.float32)
-    return found if len(found) else flat
+    found = averaged(texts.select("text").mapInArrow(learn, "piece int, seen long, x binary"))
+    return flat if found is None else found
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 1024, hot_words: int = 1 << 17) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 1 << 14, hot_words: int = 1 << 17) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     text_id = F.col("doc_id").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(text_id) % folds == fold, F.lit(False)).alias("held_out"), (F.xxhash64(text_id) % 8 == 0).alias("early"), whole_text().alias("text"))
     training = texts.where(~F.col("held_out"))
-    counts = materialise(word_counts(training), "words")
+    with Scratch(spark) as s:
+        counts = s.table(word_counts(training), "words")
+        rows = _scored(s, texts, training, counts, model_words, hot_words)
+        path = write_scratch(rows, "scores")
+    return spark.read.schema(SCORES).parquet(path)
+
+
+def _scored(s: Scratch, texts: DataFrame, training: DataFrame, counts: DataFrame, model_words: int, hot_words: int) -> DataFrame:
+    spark = texts.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    hot = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(hot_words).collect()]
+    hot = hot_of(counts, hot_words)
     words = spark.sparkContext.broadcast(Words(hot, model_words))
     known = words.value.known
     own = np.array([n for _, n in hot[:known]] + [total["n"] - sum(n for _, n in hot[:known])], dtype=np.float64)
@@ -125,12 +181,12 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 102
     for part in (early, ~early):
         flat = trained(training.where(part), words, model_words, own, flat)
 
+    learnt = spark.sparkContext.broadcast(flat)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words.value
-        model = Model(w.known + 1, w.first, flat=flat)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        model = Model(w.known + 1, w.first, flat=learnt.value)
+        for batch in text_slices(batches, 3):
             tokens, ranks, starts, lengths = _documents(w, batch.column(3).to_pylist())
             ids = w.ids(ranks)
             scores = document_scores(model, ids, starts, lengths) / np.log(10)
@@ -145,7 +201,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 102
             )
 
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = materialise(rows.mapInArrow(measure, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, logs double, score double, rare array<string>"), "scored")
+    rows = s.table(rows.mapInArrow(measure, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, logs double, score double, rare array<string>"), "scored")
     rare = rows.select("row", F.explode("rare").alias("word"))
     met = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("logs_rare"))
     full = rows.drop("rare").join(met, "row", "left")

@@ -106,6 +106,14 @@ def test_allow_list_spares_only_what_it_matches():
     assert not secret_scan.entropy_spans("sample" + key) and not secret_scan.entropy_spans(f"/items/{uuid}")
 
 
+def test_secrets_behind_keys_and_names():
+    r = random.Random(9)
+    for before in ("key=", "key_", "latest-", "contest/", "123e4567-e89b-12d3-a456-426614174000/", "sk_test_"):
+        found = [secret_scan.entropy_spans(before + "".join(r.choice("0123456789abcdef") for _ in range(40))) for _ in range(200)]
+        assert sum(any(b > len(before) + 30 for _, _, b in spans) for spans in found) >= 198
+    assert not secret_scan.entropy_spans("the_quick-brown/fox=jumps_over_the-lazy-dog") and not secret_scan.entropy_spans("1234567890" * 4)
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(words)} if 0 < len(words) < k else {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
@@ -160,6 +168,23 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(docs).count() == len(ROWS) and license_scan.scan(empty).count() == 0
 
 
+def test_licence_labels(spark):
+    mit = next(t for label, t in license_scan.TEMPLATES if len(t) > 900)
+    words = mit.split()
+    texts = {
+        "cc-by": "Licensed under CC BY 4.0",
+        "": "released under the license, and all minor rights are reserved",
+        "cc-by ": "x y z This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "cc-by,cc-by-sa": "This work is licensed under a Creative Commons Attribution 4.0 International License; that work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "mit": " ".join(["pad"] * 300 + [w for i, w in enumerate(words) if i % 40 != 7] + ["pad"] * 900),
+        " ": " ".join(["pad"] * 300 + words[: len(words) // 2]),
+        "reserved": "all rights reserved",
+    }
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string"))
+    assert {r["doc_id"]: r["labels"] for r in found.collect()} == {i: k.strip() for i, k in enumerate(texts)}
+
+
 def test_nearest(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(600, 16)).astype(np.float32)
@@ -245,6 +270,63 @@ def test_gru_gradient_and_probabilities():
     assert gru.document_scores(model, ids, starts, lengths).sum() > before + 5
 
 
+def test_gru_gradient_by_finite_differences():
+    r = np.random.default_rng(3)
+    model = gru.Model(40, 0, width=4, per_class=4, counts=r.integers(1, 50, 40))
+    model.flat += r.normal(0, 0.3, model.flat.shape).astype(np.float32)
+    word, before = r.integers(0, 40, (6, 5)), r.integers(0, 40, (6, 5))
+    kept, h = (r.random((6, 5)) > 0.2).astype(np.float32), r.normal(0, 0.5, (4, 5)).astype(np.float32)
+
+    def loss() -> float:
+        states, _ = model.run(before, kept, h, False)
+        return -float(model.score(states.transpose(0, 2, 1).reshape(-1, 4), word.reshape(-1)).astype(np.float64).sum())
+
+    grad = np.zeros_like(model.flat)
+    model.views(grad, "d_")
+    states, saved = model.run(before, kept, h, True)
+    _, d = model.score(states.transpose(0, 2, 1).reshape(-1, 4), word.reshape(-1), True, 1.0)
+    model.back(before, kept, saved, np.ascontiguousarray(d.reshape(6, 5, 4)).transpose(0, 2, 1))
+    for i in r.permutation(len(grad))[:250].tolist():
+        was, eps = model.flat[i], np.float32(1e-2)
+        model.flat[i] = was + eps
+        up = loss()
+        model.flat[i] = was - eps
+        down = loss()
+        model.flat[i] = was
+        assert grad[i] == pytest.approx((up - down) / (2 * float(eps)), abs=2e-2, rel=2e-2)
+
+
+def test_gru_scores_by_definition():
+    r = np.random.default_rng(4)
+    model = gru.Model(30, 3, width=5, per_class=2, counts=r.integers(1, 50, 30))
+    model.flat += r.normal(0, 0.3, model.flat.shape).astype(np.float32)
+    lengths = np.array([40, 1, 17, 3])
+    ids, starts, w = r.integers(0, 30, lengths.sum()), np.cumsum(lengths) - lengths, 5
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    for d, (at, n) in enumerate(zip(starts, lengths)):
+        h, last, total = np.zeros(w), 3, 0.0
+        for t in ids[at : at + n].tolist():
+            x, g = model.embed[last] @ model.wx[:w] + model.wx[w], h @ model.wh
+            z, u = sig(x[:w] + g[:w]), sig(x[w : 2 * w] + g[w : 2 * w])
+            new = np.tanh(x[2 * w :] + u * g[2 * w :])
+            h = z * h + (1 - z) * new
+            c = int(model.class_of[t])
+            outer, inner = np.append(h, 1) @ model.wc, np.append(h, 1) @ model.wo[c]
+            total += outer[c] - np.log(np.exp(outer).sum()) + inner[model.place[t]] - np.log(np.exp(inner).sum())
+            last = t
+        assert gru.document_scores(model, ids, starts, lengths)[d] == pytest.approx(total, abs=1e-3)
+
+
+def test_hot_words(spark):
+    r = random.Random(2)
+    counts = {f"w{i}": int(1000 * r.random() ** 4) + 1 for i in range(500)}
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    for most in (0, 1, 50, 499, 500, 1000):
+        hot = lm_scoring.hot_of(frame, most)
+        assert len(hot) <= most and hot == sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: len(hot)]
+    assert len(lm_scoring.hot_of(frame, 500)) == 500 and lm_scoring.hot_of(frame.limit(0), 10) == []
+
+
 def test_language_model_width():
     assert gru.Model(64, 0).width == 12
 
