@@ -6,6 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words of a question that say nothing of its subject, by kind.
+STOP_WORDS = tuple(
+    dict.fromkeys(
+        (
+            "what which when where who whom whose why how "
+            "is are was were be been being do does did can could should would may might must shall will "
+            "the a an and or but nor yet so "
+            "to of in on at by for from with about against between into through during before after above below under over within without across behind beyond around near "
+            "this that these those some any each every either neither much many few several all both such "
+            "i me my mine you your yours he him his she her hers it its we us our ours they them their theirs "
+            "have has had make makes made get gets got know knows knew see sees saw want wants need needs use uses used "
+            "tell explain describe show give provide find search look help guide "
+            "today latest recent current now currently recently update updated "
+            "example examples information details difference differences overview introduction basics"
+        ).split()
+    )
+)
+#: Fixed value: citations of snippets and of snapshots.
+CITATION = r"\((?:P[^:()\s]+:S\d+|SNAP:[A-Za-z0-9_.-]+:S\d+)\)"
+NUMBER = r"\b\d+(?:\.\d+)?\b"
+
+
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits; found first, lower-cased then."""
     return F.transform(F.regexp_extract_all(text, F.lit("[a-zA-Z0-9]+"), 0), F.lower)
@@ -39,4 +61,32 @@ def normal_doi(raw: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\((?:P[^:()\s]+:S\d+|SNAP:[A-Za-z0-9_.-]+:S\d+)\)"), 0)
+    return F.regexp_extract_all(text, F.lit(CITATION), 0)
+
+
+def without_citations(text: Column) -> Column:
+    return F.regexp_replace(text, CITATION, "")
+
+
+def question_tokens(text: Column) -> Column:
+    """Distinct tokens of three letters or more that aren't stop words."""
+    return F.array_except(token_set(text), F.array(*[F.lit(w) for w in STOP_WORDS]))
+
+
+def full_lines(text: Column) -> Column:
+    """The lines that aren't blank, trimmed; their places are the line numbers of reports."""
+    return F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def shard(key: Column, n: int) -> Column:
+    """The first 8 bytes of the key's SHA-1 as an unsigned number, modulo n."""
+    return F.pmod(F.conv(F.substring(F.sha1(key.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)"), F.lit(n)).cast("int")
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def paper_of(snippet_id: Column) -> Column:
+    """What stands before :S in a snippet's id, without the P before it."""
+    return F.regexp_extract(snippet_id, r"^\(?P?(.*?):S\d+\)?$", 1)

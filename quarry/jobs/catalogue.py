@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions import text
-from quarry.operators import corpus, knowledge, monitoring, retrieval, stores
+from quarry.functions import scores, text
+from quarry.operators import chunking, corpus, expansion, index, knowledge, monitoring, retrieval, stores
 from quarry.sources import views
 
 THIS_YEAR = 2026
-STOP = ("the", "and", "for", "with", "that", "this", "are", "was", "from", "which")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -34,21 +33,27 @@ BM25 = f"""d AS (SELECT snippet_id, len(ts) AS dl, ts FROM (SELECT snippet_id, {
         FROM p JOIN f USING (term) JOIN q USING (term), c GROUP BY ALL)"""
 SNIPPETS = "s AS (" + views.snippets_sql() + ")"
 ONE = "q AS (SELECT 0 AS qid, unnest(['the', 'of', 'and']) AS term, 1.0::DOUBLE AS boost)"
-MANY = f"""q0 AS (SELECT item_id AS qid, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark),
-  q AS (SELECT DISTINCT qid, unnest({TOKENS.format("question")}) AS term, 1.0::DOUBLE AS boost FROM q0)"""
+MANY = f"""q0 AS (SELECT item_id AS qid, text AS question FROM benchmark), q AS (SELECT DISTINCT qid, unnest({TOKENS.format("question")}) AS term, 1.0::DOUBLE AS boost FROM q0)"""
+TERMS = ["the", "of", "and"]
 
 
 def _terms(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT 0 AS qid, explode(array('the', 'of', 'and')) AS term, 1.0D AS boost")
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.questions(spark, sf_dir).select("qid", F.explode(F.array_distinct(text.tokens(F.col("question")))).alias("term"), F.lit(1.0).alias("boost"))
+def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, snippet_id, score of the one question."""
+    return index.bm25(spark, views.snippet_index(spark, sf_dir), _terms(spark), TERMS)
+
+
+def many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, snippet_id, score of all questions."""
+    return index.bm25(spark, views.snippet_index(spark, sf_dir), expansion.plan(views.questions(spark, sf_dir), {})).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {SNIPPETS}, {ONE}, {BM25} SELECT snippet_id, round(round(score, 9), 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, snippet_id) AS INT) AS rank FROM b QUALIFY rank <= 20")
 def bm25_topk(spark, sf_dir):
-    scored = retrieval.bm25_scores(views.snippets(spark, sf_dir), "snippet_id", _terms(spark)).withColumn("score", F.round("score", 9))
+    scored = one(spark, sf_dir).withColumn("score", F.round("score", 9))
     return scored.orderBy(F.desc("score"), "snippet_id").limit(20).transform(lambda d: retrieval.top_k(d, "qid", "snippet_id", 20)).select("snippet_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -63,59 +68,97 @@ PRIORS = """pr AS (SELECT b.qid, s.snippet_id, s.paper_id, (b.score * CASE secti
 @query(f"WITH {SNIPPETS}, {ONE}, {BM25}, {PRIORS} SELECT snippet_id, paper_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10")
 def bm25_prior_ranked(spark, sf_dir):
     s = views.snippets(spark, sf_dir)
-    ranked = retrieval.with_priors(retrieval.bm25_scores(s, "snippet_id", _terms(spark)), s, THIS_YEAR)
+    ranked = retrieval.with_priors(one(spark, sf_dir), s, THIS_YEAR)
     return retrieval.capped(ranked, "qid", "paper_id", "snippet_id", 2, 10).select("snippet_id", "paper_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {SNIPPETS}, {MANY}, {BM25}, r AS (SELECT qid, snippet_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, snippet_id) AS rank FROM b) SELECT qid, snippet_id, round(round(score, 9), 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
 def bm25_batch_questions(spark, sf_dir):
-    scored = retrieval.bm25_scores(views.snippets(spark, sf_dir), "snippet_id", _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    return retrieval.top_k(scored, "qid", "snippet_id", 8).select("qid", "snippet_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.top_k(many(spark, sf_dir), "qid", "snippet_id", 8).select("qid", "snippet_id", F.round("score", 6).alias("score"), "rank")
 
 
-VEC = """v AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND a.vec_id <> b.vec_id)"""
+#: Queries are all vectors with an id divisible by 50.
+VEC = """v AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  vt AS (SELECT query_id, vec_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM v)"""
 
 
-def _vectors(spark, sf_dir):
+def nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     v = views.table(spark, sf_dir, "embeddings")
-    return retrieval.vector_scores(v.select("vec_id", "embedding"), v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return retrieval.vector_scores(v.select("vec_id", "embedding"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), k)
 
 
-@query(f"WITH {VEC} SELECT query_id, vec_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS INT) AS rank FROM v QUALIFY rank <= 10")
+@query(f"WITH {VEC} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM vt WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
-    return retrieval.top_k(_vectors(spark, sf_dir).withColumn("score", F.round("score", 9)), "query_id", "vec_id", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return nearest(spark, sf_dir, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def sharded(spark: SparkSession, sf_dir: str, k: int, shards: int) -> DataFrame:
+    """The k nearest out of the k nearest of each shard."""
+    v = views.table(spark, sf_dir, "embeddings").withColumn("shard", text.shard(F.col("vec_id").cast("string"), shards))
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    met = v.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "shard", F.round(scores.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    best = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k)
+    return retrieval.top_k(best.drop("n"), "query_id", "vec_id", k)
+
+
+@query(f"""WITH {VEC} SELECT query_id, vec_id, CAST(concat('0x', substr(sha1(vec_id::VARCHAR), 1, 16))::UBIGINT % 7 AS INT) AS shard, round(score, 6) AS score, rank FROM vt WHERE rank <= 10""")
+def vector_sharded_topk(spark, sf_dir):
+    return sharded(spark, sf_dir, 10, 7).select("query_id", "vec_id", "shard", F.round("score", 6).alias("score"), "rank")
+
+
+POOL = 50
 
 
-@query(f"""WITH {SNIPPETS}, {ONE}, {BM25}, {VEC}, l AS (SELECT doc_id, score FROM b JOIN s USING (snippet_id) WHERE doc_id < 500),
-  w AS (SELECT vec_id AS doc_id, score FROM v WHERE query_id = 0),
-  x AS (SELECT doc_id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS lex FROM l),
-  y AS (SELECT doc_id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS vec FROM w)
-  SELECT doc_id, round(0.6 * coalesce(lex, 0) + 0.4 * coalesce(vec, 0), 6) AS score FROM x FULL JOIN y USING (doc_id)""")
+@query(f"""WITH {SNIPPETS}, {MANY}, {BM25}, {VEC}, bb AS (SELECT qid, snippet_id, round(score, 9) AS score FROM b),
+  l AS (SELECT qid, doc_id, score FROM bb JOIN s USING (snippet_id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= {POOL}),
+  w AS (SELECT query_id // 50 AS qid, vec_id AS doc_id, score FROM vt WHERE rank <= {POOL} AND query_id // 50 IN (SELECT qid FROM q)),
+  x AS (SELECT qid, doc_id, CASE WHEN max(score) OVER z = min(score) OVER z THEN 1.0 ELSE (score - min(score) OVER z) / (max(score) OVER z - min(score) OVER z) END AS lex FROM l WINDOW z AS (PARTITION BY qid)),
+  y AS (SELECT qid, doc_id, CASE WHEN max(score) OVER z = min(score) OVER z THEN 1.0 ELSE (score - min(score) OVER z) / (max(score) OVER z - min(score) OVER z) END AS vec FROM w WINDOW z AS (PARTITION BY qid))
+  SELECT qid, doc_id, round(0.6 * coalesce(lex, 0) + 0.4 * coalesce(vec, 0), 6) AS score FROM x FULL JOIN y USING (qid, doc_id)""")
 def hybrid_fusion(spark, sf_dir):
-    s = views.snippets(spark, sf_dir).where("doc_id < 500")
-    lex = retrieval.bm25_scores(views.snippets(spark, sf_dir), "snippet_id", _terms(spark)).join(s.select("snippet_id", "doc_id"), "snippet_id").select("qid", "doc_id", "score")
-    vec = _vectors(spark, sf_dir).where("query_id = 0").select(F.lit(0).alias("qid"), F.col("vec_id").alias("doc_id"), "score")
-    return retrieval.fused(lex, vec, "qid", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    """Question n goes with the vector 50 * n; of either side the pool of its best rows is fused."""
+    lex = many(spark, sf_dir).join(views.snippets(spark, sf_dir).select("snippet_id", "doc_id"), "snippet_id").select("qid", "doc_id", "score")
+    lex = retrieval.top_k(lex, "qid", "doc_id", POOL)
+    asked = views.questions(spark, sf_dir).select("qid")
+    vec = nearest(spark, sf_dir, POOL).select(F.expr("query_id div 50").alias("qid"), F.col("vec_id").alias("doc_id"), "score").join(asked, "qid", "left_semi")
+    return retrieval.fused(lex, vec, "qid", "doc_id").select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SNIPPETS}, {ONE}, {BM25}, m AS (SELECT paper_id, snippet_id, score FROM b JOIN s USING (snippet_id) QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, snippet_id) = 1) SELECT paper_id, snippet_id, round(score, 6) AS score FROM m ORDER BY m.score DESC, paper_id LIMIT 5")
 def shortlist_best_per_paper(spark, sf_dir):
     s = views.snippets(spark, sf_dir)
-    scored = retrieval.bm25_scores(s, "snippet_id", _terms(spark)).join(s.select("snippet_id", "paper_id"), "snippet_id")
+    scored = one(spark, sf_dir).join(s.select("snippet_id", "paper_id"), "snippet_id")
     best = scored.groupBy("paper_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "snippet_id")).alias("b")).select("paper_id", "b.snippet_id", (-F.col("b.s")).alias("score"))
     return best.orderBy(F.desc("score"), "paper_id").limit(5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {SNIPPETS}, {MANY}, {BM25}, r AS (SELECT qid, snippet_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, snippet_id) AS rank FROM b),
-  ev AS (SELECT r.qid, list_filter({TOKEN_SET.format("question")}, lambda x: NOT list_contains({list(STOP)!r}, x)) AS t, {TOKEN_SET.format("s.text")} AS u FROM r JOIN s USING (snippet_id) JOIN q0 USING (qid) WHERE rank <= 8),
+  ev AS (SELECT r.qid, list_filter({TOKEN_SET.format("question")}, lambda x: NOT list_contains({list(text.STOP_WORDS)!r}, x)) AS t, {TOKEN_SET.format("s.text")} AS u FROM r JOIN s USING (snippet_id) JOIN q0 USING (qid) WHERE rank <= 8),
   nn AS (SELECT qid, len(t) AS n, len(list_intersect(t, u)) AS shared FROM ev),
-  g AS (SELECT qid, round(max(CASE WHEN n > 0 THEN shared / n ELSE 0 END), 4) AS max_relevance, round(avg(CASE WHEN n > 0 THEN shared / n ELSE 0 END), 4) AS avg_relevance, CAST(max(shared) AS BIGINT) AS max_shared FROM nn GROUP BY qid)
+  g AS (SELECT qid, round(max(CASE WHEN n > 0 THEN shared / n ELSE 0 END), 4) AS max_relevance, round(avg(CASE WHEN n > 0 THEN shared / n ELSE 0 END), 4) AS avg_relevance, round(min(CASE WHEN n > 0 THEN shared / n ELSE 0 END), 4) AS min_relevance, CAST(max(shared) AS BIGINT) AS max_shared FROM nn GROUP BY qid)
   SELECT *, (max_relevance >= 0.18 OR (max_shared >= 1 AND avg_relevance >= 0.08)) AS relevant FROM g""")
 def relevance_gate(spark, sf_dir):
-    s = views.snippets(spark, sf_dir)
-    scored = retrieval.bm25_scores(s, "snippet_id", _asked(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    best = retrieval.top_k(scored, "qid", "snippet_id", 8).join(s.select("snippet_id", "text"), "snippet_id").join(views.questions(spark, sf_dir), "qid")
-    return retrieval.relevance(best, STOP)
+    best = retrieval.top_k(many(spark, sf_dir), "qid", "snippet_id", 8).join(views.snippets(spark, sf_dir).select("snippet_id", "text"), "snippet_id").join(views.questions(spark, sf_dir), "qid")
+    return retrieval.relevance(best)
+
+
+@query(f"""WITH m(k, ts) AS (VALUES {", ".join(f"('{k}', {[t.replace('-', '') for t in v]})" for k, v in expansion.EXPANSIONS.items())}),
+  q0 AS (SELECT item_id AS qid, text || CASE item_id % 3 WHEN 0 THEN ' mobile video segmentation' WHEN 1 THEN ' Real-time boundary EDGE' ELSE ' low' END AS question FROM benchmark),
+  o AS (SELECT DISTINCT qid, unnest({TOKENS.format("question")}) AS term FROM q0)
+  SELECT qid, term, max(boost) AS boost FROM (SELECT qid, term, 1.0::DOUBLE AS boost FROM o UNION ALL SELECT qid, unnest(ts), 0.75::DOUBLE FROM o JOIN m ON k = term) GROUP BY qid, term""")
+def query_expansion(spark, sf_dir):
+    more = F.expr("CASE qid % 3 WHEN 0 THEN ' mobile video segmentation' WHEN 1 THEN ' Real-time boundary EDGE' ELSE ' low' END")
+    return expansion.plan(views.questions(spark, sf_dir).select("qid", F.concat("question", more).alias("question")))
+
+
+@query(f"""WITH {SNIPPETS}, t AS (SELECT snippet_id, {TOKENS.format("text")} AS ts FROM s), p AS (SELECT snippet_id, term, count(*) AS tf FROM (SELECT snippet_id, unnest(ts) AS term FROM t) GROUP BY ALL), c AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t)
+  SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, round(ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)), 9) AS idf FROM p, c GROUP BY term, n""")
+def index_build(spark, sf_dir):
+    """The index's terms, read back from its tables."""
+    own = views.snippet_index(spark, sf_dir)
+    counts = own.table(spark, "postings").groupBy("term").agg(F.sum("tf").alias("tf"))
+    n = F.broadcast(own.table(spark, "stats").select("n"))
+    return own.table(spark, "terms").join(counts, "term").crossJoin(n).select("term", "df", "tf", F.round(scores.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
 CANON = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(claim)), '\\b(\\d+)\\.0\\b', '\\1', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -131,16 +174,16 @@ def contradiction_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {CLAIMS}, k AS (SELECT *, sha256(canonical) AS h, 0.4 + (claim_id % 6) / 10.0 AS confidence FROM cl),
-  o AS (SELECT topic, h, claim, confidence, CASE WHEN claim_id % 11 = 0 THEN 'superseded' ELSE 'active' END AS status FROM k WHERE claim_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY topic, h ORDER BY claim_id) = 1),
-  n AS (SELECT topic, h, claim, confidence FROM k WHERE claim_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY topic, h ORDER BY claim_id) = 1)
+  o AS (SELECT topic, h, claim, confidence, CASE WHEN claim_id % 11 = 0 THEN 'superseded' ELSE 'active' END AS status FROM k WHERE claim_id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY topic, h ORDER BY claim_id) = 1),
+  n AS (SELECT topic, h, claim, confidence FROM k WHERE claim_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY topic, h ORDER BY claim_id) = 1)
   SELECT topic, h AS canonical_hash, coalesce(n.claim, o.claim) AS claim, CAST(coalesce(n.confidence, o.confidence) AS DOUBLE) AS confidence,
     CASE WHEN o.status = 'superseded' THEN 'superseded' WHEN n.claim IS NOT NULL THEN 'active' ELSE o.status END AS status,
     CASE WHEN o.claim IS NULL THEN 'added' WHEN n.claim IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS change FROM o FULL JOIN n USING (topic, h)""")
 def kb_upsert(spark, sf_dir):
     k = knowledge.keyed(views.claims(spark, sf_dir)).withColumn("confidence", 0.4 + (F.col("claim_id") % 6) / 10)
     status = F.when(F.col("claim_id") % 11 == 0, "superseded").otherwise("active")
-    old = k.where("claim_id % 3 = 0").groupBy("topic", "canonical_hash").agg(F.min(F.struct("claim_id", "claim", "confidence", status.alias("status"))).alias("c")).select("topic", "canonical_hash", "c.claim", "c.confidence", "c.status")
-    return knowledge.upsert(old, k.where("claim_id % 2 = 0"))
+    old = k.where("claim_id % 3 <> 1").groupBy("topic", "canonical_hash").agg(F.min(F.struct("claim_id", "claim", "confidence", status.alias("status"))).alias("c")).select("topic", "canonical_hash", "c.claim", "c.confidence", "c.status")
+    return knowledge.upsert(old, k.where("claim_id % 3 <> 0"))
 
 
 @query(f"""WITH {CLAIMS}, d AS (SELECT claim_id, round(least(1, greatest(0, (0.4 + (claim_id % 6) / 10.0)::DOUBLE * pow(0.98, (claim_id % 90)::DOUBLE))), 4) AS decayed FROM cl) SELECT claim_id, decayed, decayed < 0.35 AS stale FROM d""")
@@ -149,11 +192,19 @@ def kb_decay(spark, sf_dir):
     return knowledge.decayed(aged, "days").select("claim_id", "decayed", "stale")
 
 
-@query("""WITH l AS (SELECT doc_id, i, list_filter(string_split_regex(string_split(text, chr(10))[i], '\\s+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-  p AS (SELECT doc_id, i, ws, unnest(range(0, CAST(ceil(len(ws) / 120.0) AS BIGINT))) AS part FROM l WHERE len(ws) > 0)
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, part) AS INT) AS chunk, CAST(len(ws[part * 120 + 1 : part * 120 + 120]) AS BIGINT) AS n_words, array_to_string(ws[part * 120 + 1 : part * 120 + 120], ' ') AS text FROM p""")
+HEADED = " ".join(f"WHEN starts_with(name, '{k}') THEN '{v}'" for k, v in chunking.HEADINGS)
+CHUNKS = f"""l AS (SELECT doc_id, i, trim(ls[i]) AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS ls FROM ({views.STRUCTURED_SQL})))),
+  n AS (SELECT *, regexp_replace(regexp_replace(lower(line), '^\\d+(\\.\\d+)*\\s*', ''), '^:+|:+$', '', 'g') AS name, len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) AS nw FROM l),
+  h AS (SELECT doc_id, i, line, CASE WHEN nw BETWEEN 1 AND 10 AND (line = upper(line) OR (regexp_matches(line, '[A-Z]') AND NOT regexp_matches(line, '[A-Za-z][A-Z]|(^|[^A-Za-z])[a-z]')) OR NOT regexp_matches(line, '[.,]$')) THEN CASE {HEADED} END END AS heading FROM n),
+  w AS (SELECT *, coalesce(last_value(heading IGNORE NULLS) OVER o, 'body') AS section, sum(CASE WHEN heading IS NOT NULL OR line = '' THEN 1 ELSE 0 END) OVER o AS island FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  g AS (SELECT doc_id, island, min(section) AS section, list_filter(string_split_regex(string_agg(line, ' ' ORDER BY i), '\\s+'), lambda x: x <> '') AS ws FROM w WHERE heading IS NULL AND line <> '' GROUP BY ALL),
+  k AS (SELECT *, unnest(range(0, CAST(ceil(len(ws) / 120.0) AS BIGINT))) AS part FROM g),
+  ch AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island, part) AS INT) AS chunk, section, CAST(len(ws[part * 120 + 1 : part * 120 + 120]) AS BIGINT) AS n_words, array_to_string(ws[part * 120 + 1 : part * 120 + 120], ' ') AS text FROM k)"""
+
+
+@query(f"WITH {CHUNKS} SELECT * FROM ch")
 def section_chunking(spark, sf_dir):
-    return corpus.chunks(views.table(spark, sf_dir, "documents"))
+    return chunking.chunks(views.structured(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.jobs.catalogue import BM25, FEEDBACK_SQL, ONE, SNIPPETS, _terms, query
+from quarry.jobs.catalogue import BM25, FEEDBACK_SQL, ONE, SNIPPETS, one, query
 from quarry.operators import evidence, retrieval, stores
 from quarry.sources import views
 from quarry.streaming.tail import tail
@@ -16,7 +16,7 @@ from quarry.streaming.tail import tail
 def trust_weighted_retrieval(spark, sf_dir):
     s = views.snippets(spark, sf_dir)
     trust = stores.trust(stores.reliability(views.feedback(spark, sf_dir)))
-    weighted = evidence.trust_weighted(retrieval.bm25_scores(s, "snippet_id", _terms(spark)), s.select("snippet_id", F.col("paper_id").alias("venue")), trust)
+    weighted = evidence.trust_weighted(one(spark, sf_dir), s.select("snippet_id", F.col("paper_id").alias("venue")), trust)
     best = weighted.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "snippet_id").limit(20)
     return retrieval.top_k(best, "qid", "snippet_id", 20).select("snippet_id", F.round("score", 6).alias("score"), "rank")
 
@@ -45,7 +45,7 @@ def live_first_merge(spark, sf_dir):
     return evidence.live_first(_live(spark, sf_dir), _static(spark, sf_dir), 100).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH c AS (SELECT doc_id AS claim_id, lang AS topic, doc_id % 30 AS run, (doc_id % 30) * 3600 + doc_id % 50 AS "at" FROM documents)
+@query(f"""WITH c AS (SELECT claim_id, topic, claim_id % 30 AS run, (claim_id % 30) * 3600 + claim_id % 50 AS "at" FROM ({views.CLAIMS_SQL}))
   SELECT claim_id, topic, run, "at" FROM c WHERE "at" > (SELECT max("at") FROM c WHERE run = 20)""")
 def kb_changes_since(spark, sf_dir):
     run = F.col("claim_id") % 30

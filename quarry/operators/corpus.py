@@ -1,4 +1,4 @@
-"""Corpus ETL: chunks, extraction quality, health, deltas, deduplication, enrichment, HTML."""
+"""Corpus ETL: extraction quality, health, deltas, deduplication, enrichment, HTML."""
 
 from __future__ import annotations
 
@@ -8,21 +8,11 @@ from pyspark.sql import functions as F
 from quarry.functions import scores, text
 
 
-def chunks(docs: DataFrame, words: int = 120) -> DataFrame:
-    """doc_id, chunk (from 1), n_words, text: each paragraph (line) in runs of words, numbered in order."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    split = lines.select("doc_id", "line", F.filter(F.split("t", r"\s+"), lambda w: w != "").alias("ws")).where(F.size("ws") > 0)
-    parts = split.select("doc_id", "line", "ws", F.explode(F.sequence(F.lit(0), ((F.size("ws") - 1) / words).cast("int"))).alias("part"))
-    cut = parts.select("doc_id", "line", "part", F.slice("ws", F.col("part") * words + 1, words).alias("ws"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "part"))
-    return cut.select("doc_id", number.alias("chunk"), F.size("ws").cast("long").alias("n_words"), F.array_join("ws", " ").alias("text"))
-
-
 def extraction_quality(docs: DataFrame) -> DataFrame:
     """doc_id, score, band: length, letters, control characters, line length around 80, headings."""
     c = docs.select("doc_id", "text", text.compact(F.col("text")).alias("c"))
     total = F.length("c")
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     mean = F.aggregate(lines, F.lit(0.0), lambda s, x: s + F.length(x)) / F.size(lines)
     alnum = F.length(F.regexp_replace("c", r"[^\p{L}\p{N} ]", "")) / total
     weird = (total - F.length(F.regexp_replace("c", "[\x01-\x08\x0e-\x1f�]", ""))) / total

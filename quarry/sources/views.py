@@ -1,10 +1,15 @@
-"""Domain views over the given tables: papers, snippets, questions, feedback, sessions, claims, runs."""
+"""Domain views over the given tables: papers, snippets, questions, feedback, sessions, claims, runs; and the index of snippets."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import index
+from quarry.sources.shared import shared_dir
+
 SECTIONS = ("abstract", "introduction", "related_work", "method", "experiments", "results", "limitations", "future_work", "discussion", "conclusion", "body")
 VENUES = ("CVPR 2020", "arXiv", "NeurIPS", "Journal of Tests", "ICML", "Workshop")
 FEEDBACK = {"view": "fetch_success", "error": "fetch_error", "click": "evidence_used", "purchase": "claim_confirmed", "signup": "user_upvote"}
@@ -32,15 +37,37 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple, index.Index] = {}
+
+
+def snippet_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of snippets, written to the shared folder once for each session and state of the table's files."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
+    state = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, tuple(sorted(map(tuple, files))))
+    if state not in _indexes:
+        _indexes[state] = index.build(snippets(spark, sf_dir), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    return _indexes[state]
+
+
 def snippets_sql() -> str:
     pick = lambda values: f"[{', '.join(repr(v) for v in values)}][doc_id % {len(values)} + 1]"
     return f"""SELECT 'Pdoc_' || doc_id || ':S1' AS snippet_id, doc_id, source AS paper_id, lang, {pick(SECTIONS)} AS section, {pick(VENUES)} AS venue,
       CAST(2005 + doc_id % 20 AS INT) AS year, (doc_id * 37) % 500 AS citations, 0.2::DOUBLE + (doc_id % 9) / 10.0::DOUBLE AS quality, text FROM documents"""
 
 
-def questions(spark: SparkSession, sf_dir: str, words: int = 8) -> DataFrame:
-    """qid, question: the first words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("question"))
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question: each benchmark item, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: documents whose lines are paragraphs; every fifth begins with an abstract, the next of five puts a numbered heading between its lines."""
+    i = F.col("doc_id") % 5
+    lines = lambda by: F.replace(F.col("text"), F.lit("\n"), F.lit(by))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(i == 0, F.concat(F.lit("Abstract\n"), lines("\n\n"))).when(i == 1, lines("\n2.1 Results:\n")).otherwise(lines("\n\n")).alias("text"))
+
+
+STRUCTURED_SQL = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Abstract' || chr(10) || replace(text, chr(10), chr(10) || chr(10)) WHEN 1 THEN replace(text, chr(10), chr(10) || '2.1 Results:' || chr(10)) ELSE replace(text, chr(10), chr(10) || chr(10)) END AS text FROM documents"""
 
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,14 +76,19 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source_name"), kind[F.col("event_type")].alias("event_type"), (F.col("value") / 500).alias("value"))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """claim_id, topic, claim: the first 24 words of each document; every seventh is denied."""
-    start = F.array_join(F.slice(F.split(F.element_at(F.split("text", "\n"), 1), " "), 1, 24), " ")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.col("lang").alias("topic"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("not "), start)).otherwise(start).alias("claim"))
+def claims(spark: SparkSession, sf_dir: str, words: int = 24) -> DataFrame:
+    """claim_id, topic, claim: every document in claims of words words, line by line; the first of every seventh document is denied."""
+    own = F.filter(F.split("line", r"\s+"), lambda w: w != "")
+    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "lang", "at", own.alias("ws")).where(F.size("ws") > 0)
+    parts = lines.select("doc_id", "lang", "at", "ws", F.explode(F.sequence(F.lit(0), ((F.size("ws") - 1) / words).cast("int"))).alias("part"))
+    told = F.array_join(F.slice("ws", F.col("part") * words + 1, words), " ")
+    denied = (F.col("doc_id") % 7 == 0) & (F.col("at") == 0) & (F.col("part") == 0)
+    return parts.select((F.col("doc_id") * 10000000 + F.col("at") * 1000 + F.col("part")).alias("claim_id"), F.col("lang").alias("topic"), F.when(denied, F.concat(F.lit("not "), told)).otherwise(told).alias("claim"))
 
 
-CLAIMS_SQL = """SELECT doc_id AS claim_id, lang AS topic, CASE WHEN doc_id % 7 = 0 THEN 'not ' ELSE '' END ||
-  array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:24], ' ') AS claim FROM documents"""
+CLAIMS_SQL = """SELECT doc_id * 10000000 + (i - 1) * 1000 + part AS claim_id, lang AS topic, CASE WHEN doc_id % 7 = 0 AND i = 1 AND part = 0 THEN 'not ' ELSE '' END || array_to_string(ws[part * 24 + 1 : part * 24 + 24], ' ') AS claim
+  FROM (SELECT *, unnest(range(0, CAST(ceil(len(ws) / 24.0) AS BIGINT))) AS part FROM (SELECT doc_id, lang, i, list_filter(string_split_regex(string_split(text, chr(10))[i], '\\s+'), lambda x: x <> '') AS ws
+    FROM (SELECT doc_id, lang, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE len(ws) > 0)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
