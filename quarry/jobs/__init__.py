@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.jobs import catalogue, evidence, kb, reports  # noqa: F401  (each registers its queries)
+from quarry.jobs import catalogue, evidence, kb, monitor, reports  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:

@@ -313,11 +313,6 @@ def monitor_delta(spark, sf_dir):
     return d.select("topic", "run_id", "n", F.round("metric", 6).alias("metric"), "previous_run", F.round("previous_metric", 6).alias("previous_metric"))
 
 
-@query()
-def noise_control(spark, sf_dir):
-    return monitoring.noise_control(views.runs(spark, sf_dir).select("topic", "at", (F.col("metric") > 45).alias("fired")), 2, 360)
-
-
 @query(f"WITH r AS ({views.RUNS_SQL}), e AS (SELECT topic, r.\"at\" AS t, 60 + 30 * (n % 5) AS cooldown FROM r), x AS (SELECT topic, t, CAST(floor((epoch(t) - epoch(lag(t) OVER w)) / 60) AS BIGINT) AS minutes, CAST(lag(cooldown) OVER w AS BIGINT) AS needed FROM e WINDOW w AS (PARTITION BY topic ORDER BY t)) SELECT topic, strftime(t, '%Y-%m-%d %H') AS at_hour, minutes, needed FROM x WHERE minutes < needed")
 def cooldown_violations(spark, sf_dir):
     v = monitoring.interval_violations(views.runs(spark, sf_dir).select("topic", "at", (60 + 30 * (F.col("n") % 5)).alias("cooldown")), "cooldown")
