@@ -63,15 +63,6 @@ def gold_eval(spark, sf_dir):
     return evidence.gold_scores(both.select("source", checks.alias("c")).select("source", "c.*"), "source")
 
 
-@query("""WITH k AS (SELECT source, count(*) AS papers, count(*) FILTER (length(text) < 200) AS short, count(*) FILTER (lang <> 'en') AS foreign_language FROM documents GROUP BY source),
-  r AS (SELECT *, short / greatest(papers, 1) AS x, foreign_language / greatest(papers, 1) AS y FROM k),
-  g AS (SELECT source, papers, short, foreign_language, round(x, 6) AS short_rate, round(y, 6) AS foreign_language_rate, concat_ws(',', CASE WHEN x > 0.15 THEN 'short_rate_over_limit' END, CASE WHEN y > 0.4 THEN 'foreign_language_rate_over_limit' END) AS reasons FROM r)
-  SELECT *, reasons = '' AS ok FROM g""")
-def source_quality_gate(spark, sf_dir):
-    counts = views.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("papers"), F.count_if(F.length("text") < 200).alias("short"), F.count_if(F.col("lang") != "en").alias("foreign_language"))
-    return evidence.gated(counts, "papers", {"short": 0.15, "foreign_language": 0.4})
-
-
 @query(f"""WITH r AS ({views.RUNS_SQL}), p AS (SELECT topic, run_id, metric, lag(metric) OVER (PARTITION BY topic ORDER BY run_id) AS before FROM r)
   SELECT topic, run_id, round((metric - before) * 100 / nullif(before, 0), 4) AS change, coalesce((metric - before) * 100 / nullif(before, 0) > 10, false) AS regressed FROM p""")
 def regression_check(spark, sf_dir):

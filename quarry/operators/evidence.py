@@ -47,13 +47,6 @@ def gold_scores(checks: DataFrame, group: str) -> DataFrame:
     return checks.groupBy(group).agg(F.count("*").alias("checks"), F.count_if("passed").alias("passed"), F.round(F.coalesce(F.try_divide(done, F.sum("weight")), F.lit(1.0)), 4).alias("score"))
 
 
-def gated(counts: DataFrame, total: str, limits: dict[str, float]) -> DataFrame:
-    """counts with a rate for each counted column of limits, the reasons (rates over their limit) and ok."""
-    rate = lambda c: F.col(c) / F.greatest(F.col(total), F.lit(1))
-    reasons = F.concat_ws(",", *[F.when(rate(c) > limit, f"{c}_rate_over_limit") for c, limit in limits.items()])
-    return counts.select("*", *[F.round(rate(c), 6).alias(f"{c}_rate") for c in limits], reasons.alias("reasons"), (reasons == "").alias("ok"))
-
-
 def regressions(runs: DataFrame, worst: float) -> DataFrame:
     """Runs with the change of metric against the run before, in percent, and whether it is over worst. A first run has no change."""
     before = F.lag("metric").over(Window.partitionBy("topic").orderBy("run_id"))
