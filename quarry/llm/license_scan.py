@@ -122,8 +122,9 @@ def containment_join(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
             keys[r] = None
             index.append((r, at, need, k, label, runs))
     prefix = docs.sparkSession.createDataFrame(index, "run string, at int, need int, k int, label string, template array<string>")
-    keyed = texts.where(F.exists("runs", lambda r: r.isin(list(keys))))
-    blocks = keyed.select("doc_id", "text_key", F.posexplode(blocks_of(F.col("runs"), block)).alias("block_no", "block"))
+    # a filter would be pushed below the projection and make the runs anew for each of their words
+    some = F.when(F.exists("runs", lambda r: r.isin(list(keys))), blocks_of(F.col("runs"), block)).otherwise(F.array().cast("array<array<string>>"))
+    blocks = texts.select("doc_id", "text_key", F.posexplode(some).alias("block_no", "block"))
     own = blocks.select("doc_id", "text_key", "block_no", F.array_intersect(_strings(order), "block").alias("own")).where(F.size("own") >= least)
     pairs = own.withColumn("run", F.explode(F.filter("own", lambda r: r.isin(list(keys))))).join(F.broadcast(prefix), "run")
     place = F.array_position("own", F.col("run")).cast("int")
