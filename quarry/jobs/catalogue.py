@@ -216,13 +216,6 @@ def extraction_quality(spark, sf_dir):
     return corpus.extraction_quality(views.table(spark, sf_dir, "documents"))
 
 
-@query("""WITH p AS (SELECT source, count(*) AS s, sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS n FROM documents GROUP BY source),
-  f AS (SELECT count(*) AS papers, CAST(sum(s) AS BIGINT) AS snippets, CAST(sum(n) AS BIGINT) AS chars FROM p)
-  SELECT *, round(chars / papers, 3) AS avg_chars_per_paper, round(chars / snippets, 3) AS avg_chars_per_snippet, '' AS reasons, true AS healthy FROM f""")
-def corpus_health(spark, sf_dir):
-    return corpus.health(views.snippets(spark, sf_dir), 1, 500)
-
-
 @query(f"""WITH {SNIPPETS}, o AS (SELECT snippet_id, sha256(snippet_id || '|' || paper_id || '|' || section || '|' || text) AS h FROM s WHERE doc_id % 10 <> 0),
   n AS (SELECT snippet_id, sha256(snippet_id || '|' || paper_id || '|' || section || '|' || CASE WHEN doc_id % 7 = 0 THEN text || ' more' ELSE text END) AS h FROM s WHERE doc_id % 10 <> 1)
   SELECT snippet_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' ELSE 'changed' END AS change FROM o FULL JOIN n USING (snippet_id) WHERE o.h IS DISTINCT FROM n.h""")

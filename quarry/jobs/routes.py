@@ -21,6 +21,10 @@ def _asked(spark, sf_dir):
     return views.table(spark, sf_dir, "conversations").select((c * 100 + t).alias("qid"), (c % 5).alias("kind"), question.alias("question"), F.when(c % 13 == 0, " Notes").when(c % 13 == 1, "auto").alias("explicit"))
 
 
+#: A word's edges by all letters, not by those of ASCII alone.
+EDGE = (r"(^|[^\p{L}\p{N}\p{M}_])", r"($|[^\p{L}\p{N}\p{M}_])")
+
+
 def _hits(terms) -> str:
     return " + ".join(f"CAST(contains(t, '{w}') AS INT)" if " " in w else rf"CAST(regexp_matches(t, '\b{w}\b') AS INT)" for w in terms)
 
@@ -50,7 +54,7 @@ def router_eval(spark, sf_dir):
 TERMS = {"science": ("the", "of the", "paper"), "daily": ("please", "que", "und"), "speed": ("km/h", "track the")}
 
 
-@query(f"""WITH {ASKED}, l AS (SELECT qid, lower(question) AS t FROM qs), n AS (SELECT qid, t, {_hits(TERMS["science"])} AS a, {_hits(TERMS["daily"])} AS b, CAST(regexp_matches(t, '\\bkm/h\\b') AS INT) + CAST(contains(t, 'track the') AS INT) AS c FROM l),
+@query(f"""WITH {ASKED}, l AS (SELECT qid, lower(question) AS t FROM qs), n AS (SELECT qid, t, {_hits(TERMS["science"])} AS a, {_hits(TERMS["daily"])} AS b, CAST(regexp_matches(t, '{EDGE[0]}km/h{EDGE[1]}') AS INT) + CAST(contains(t, 'track the') AS INT) AS c FROM l),
   x AS (SELECT *, CASE WHEN greatest(a, b, c) = 0 THEN 'general' WHEN a >= b AND a >= c THEN 'science' WHEN b >= c THEN 'daily' ELSE 'speed' END AS intent, greatest(a, b, c) AS k FROM n)
   SELECT qid, intent, CASE WHEN k = 0 THEN 0 ELSE round(least(1, 0.4 + 0.2 * k), 4) END::DOUBLE AS confidence, CASE intent WHEN 'general' THEN NULL WHEN 'science' THEN 'beta,alpha' WHEN 'daily' THEN 'alpha' END AS sources FROM x""")
 def live_intents(spark, sf_dir):
@@ -105,7 +109,7 @@ def layout_reading_order(spark, sf_dir):
     WHEN contains(c, '|') OR contains(text, chr(9)) OR (length(c) > 25 AND length(regexp_replace(c, '[^0-9]', '', 'g')) >= 6 AND length(regexp_replace(c, '[^:;,_%-]', '', 'g')) >= 4) THEN 'table' WHEN (x0 + x1) / 2 <= 300 THEN 'body_left' ELSE 'body_right' END AS label FROM tx WHERE t <> ''),
   pg AS (SELECT page, coalesce(string_agg(CASE WHEN label IN ('table', 'footnote') THEN c ELSE t END, chr(10) ORDER BY CASE label WHEN 'body_left' THEN 1 WHEN 'body_right' THEN 2 WHEN 'table' THEN 3 WHEN 'caption' THEN 4 ELSE 5 END, floor(y0 / 24), y0, x0) FILTER (label NOT IN ('header', 'footer')), '') AS text, count(*) AS total,
     count(*) FILTER (label LIKE 'body%') AS body, count(*) FILTER (label = 'table') AS tables, count(*) FILTER (label = 'footnote') AS footnotes, count(*) FILTER (label = 'caption') AS captions, count(*) FILTER (label IN ('header', 'footer')) AS edges, count(*) FILTER (label LIKE 'body%' AND x0 < 210 AND x1 > 390) AS wide FROM lb GROUP BY page)
-  SELECT page, text, round(greatest(0, least(1, (0.45 * body / total + 0.20 * (1 - edges / total) + 0.20 * least(1, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) / 2200) + 0.15 * (1 - least(0.9, (tables + footnotes + captions) / total))) * (1 - least(0.4, wide / total))))::DOUBLE, 6) AS confidence, body, tables, footnotes, captions, edges FROM pg""")
+  SELECT page, text, round(greatest(0, least(1, (0.45 * body / total + 0.20 * (1 - edges / total) + 0.20 * least(1, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) / 2200) + 0.15 * (1 - least(0.9, (tables + footnotes + captions) / total))) * (1 - least(0.4, wide / total))))::DOUBLE, 9) AS confidence, body, tables, footnotes, captions, edges FROM pg""")
 def layout_confidence(spark, sf_dir):
     return layout.page_texts(_blocks(spark, sf_dir))
 

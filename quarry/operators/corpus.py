@@ -22,15 +22,6 @@ def extraction_quality(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.round("score", 6).alias("score"), F.when(F.col("score") >= 0.75, "good").when(F.col("score") >= 0.45, "ok").otherwise("poor").alias("band"))
 
 
-def health(snippets: DataFrame, least_snippets: int, least_chars: float) -> DataFrame:
-    """One row: counts, means, reasons against the corpus."""
-    f = snippets.select("paper_id", F.length(text.compact(F.col("text"))).alias("n")).groupBy("paper_id").agg(F.count("*").alias("s"), F.sum("n").alias("n"))
-    f = f.agg(F.count("*").alias("papers"), F.coalesce(F.sum("s"), F.lit(0)).alias("snippets"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
-    mean = F.when(F.col("papers") > 0, F.col("chars") / F.col("papers")).otherwise(0.0)
-    reasons = F.array_compact(F.array(F.when(F.col("snippets") < least_snippets, "snippet_count"), F.when(mean < least_chars, "avg_chars_per_paper")))
-    return f.select("papers", "snippets", "chars", F.round(mean, 3).alias("avg_chars_per_paper"), F.round(F.when(F.col("snippets") > 0, F.col("chars") / F.col("snippets")).otherwise(0.0), 3).alias("avg_chars_per_snippet"), F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("healthy"))
-
-
 def hashed(snippets: DataFrame) -> DataFrame:
     return snippets.select("snippet_id", F.sha2(F.concat_ws("|", "snippet_id", "paper_id", "section", "text"), 256).alias("content_hash"))
 

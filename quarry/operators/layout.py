@@ -83,7 +83,7 @@ def page_texts(blocks: DataFrame, tables: str = "linearize", notes: str = "appen
     )
     share = lambda *cs: sum((F.col(c) for c in cs[1:]), F.col(cs[0])) / F.col("total")
     score = 0.45 * share("body") + 0.20 * (1 - share("edges")) + 0.20 * F.least(F.lit(1.0), F.length(text.compact(F.col("text"))) / 2200) + 0.15 * (1 - F.least(F.lit(0.9), share("tables", "footnotes", "captions")))
-    return pages.select("page", "text", F.round(scores.clamp(score * (1 - F.least(F.lit(0.4), share("wide")))), 6).alias("confidence"), "body", "tables", "footnotes", "captions", "edges")
+    return pages.select("page", "text", F.round(scores.clamp(score * (1 - F.least(F.lit(0.4), share("wide")))), 9).alias("confidence"), "body", "tables", "footnotes", "captions", "edges")
 
 
 def region_counts(pages: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ MODES = ("ask", "monitor", "notes", "research")
 def held(lowered: Column, terms) -> Column:
     """Distinct terms that a lowered text holds, sorted: those with a space anywhere, others as whole words."""
     own = sorted({t.strip().lower() for t in terms if t.strip()})
-    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)) if " " in t else lowered.rlike(rf"\b{re.escape(t)}\b"), F.lit(t)) for t in own]))
+    return F.array_compact(F.array(*[F.when(F.contains(lowered, F.lit(t)) if " " in t else lowered.rlike(rf"(?U)\b{re.escape(t)}\b"), F.lit(t)) for t in own]))
 
 
 def is_arithmetic(question: Column, most: int = 3) -> Column:
