@@ -51,7 +51,7 @@ def router_eval(spark, sf_dir):
     return routing.confusion(routing.routed(asked).join(asked.select("qid", expected.alias("expected")), "qid").select("expected", F.col("mode").alias("predicted")))
 
 
-TERMS = {"science": ("the", "of the", "paper"), "daily": ("please", "que", "und"), "speed": ("km/h", "track the")}
+TERMS = {"science": ("the", "of the", "paper"), "daily": ("please", "la que", "und die"), "speed": ("km/h", "track the")}
 
 
 @query(f"""WITH {ASKED}, l AS (SELECT qid, lower(question) AS t FROM qs), n AS (SELECT qid, t, {_hits(TERMS["science"])} AS a, {_hits(TERMS["daily"])} AS b, CAST(regexp_matches(t, '{EDGE[0]}km/h{EDGE[1]}') AS INT) + CAST(contains(t, 'track the') AS INT) AS c FROM l),
