@@ -213,12 +213,13 @@ def document_scores(model: Model, ids: np.ndarray, starts: np.ndarray, lengths:
 
 
 class Trainer:
-    """Adam over windows."""
+    """Adam over windows. Windows of few tokens, as long documents' ends are, add up their gradients until they have LEAST tokens together; steps of fewer than FULL are the smaller."""
+
+    LEAST, FULL = 512, 4096
 
     def __init__(self, model: Model, rate: float = 0.01):
-        self.model, self.rate, self.step = model, rate, 0
-        self.grad = np.zeros_like(model.flat)
-        self.m, self.v = np.zeros_like(model.flat), np.zeros_like(model.flat)
+        self.model, self.rate, self.step, self.tokens = model, rate, 0, 0
+        self.grad, self.m, self.v, self.spare = (np.zeros_like(model.flat) for _ in range(4))
         model.views(self.grad, "d_")
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
@@ -227,21 +228,30 @@ class Trainer:
             h = np.zeros((model.width, word.shape[1]), dtype=np.float32) if h is None else h[:, : word.shape[1]]
             states, saved = model.run(before, kept, h, True)
             h = states[-1]
-            self.grad[:] = 0
-            n = int(there.sum())
-            _, d = model.score(states.transpose(0, 2, 1)[there], word[there], True, 1.0 / n)
+            _, d = model.score(states.transpose(0, 2, 1)[there], word[there], True)
             d_states = np.zeros((*word.shape, model.width), dtype=np.float32)
             d_states[there] = d
             model.back(before, kept, saved, d_states.transpose(0, 2, 1))
-            self.adam(min(1.0, n / 4096))
+            self.tokens += int(there.sum())
+            if self.tokens >= self.LEAST:
+                self.adam()
+        if self.tokens:
+            self.adam()
 
-    def adam(self, share: float) -> None:
+    def adam(self) -> None:
+        """One step by the mean gradient of the tokens since the last."""
         self.step += 1
-        g = self.grad
-        norm = float(np.sqrt((g * g).sum()))
-        if norm > 1:
-            g *= 1 / norm
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        rate = self.rate * share * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-        self.model.flat -= (rate * self.m / (np.sqrt(self.v) + 1e-6)).astype(np.float32)
+        g, spare, share = self.grad, self.spare, min(1.0, self.tokens / self.FULL)
+        g *= 1 / (self.tokens * max(1.0, float(np.sqrt(g @ g)) / self.tokens))
+        self.m *= 0.9
+        self.m += np.multiply(g, 0.1, out=spare)
+        self.v *= 0.99
+        np.multiply(g, g, out=spare)
+        self.v += np.multiply(spare, 0.01, out=spare)
+        np.sqrt(self.v, out=spare)
+        spare += 1e-6
+        np.divide(self.m, spare, out=spare)
+        spare *= self.rate * share * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        self.model.flat -= spare
+        g[:] = 0
+        self.tokens = 0
