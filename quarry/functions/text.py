@@ -43,8 +43,8 @@ def compact(text: Column) -> Column:
 
 def strip_html(html: Column) -> Column:
     """Without scripts, styles and tags, white space collapsed."""
-    out = F.regexp_replace(html, r"(?is)<script.*?</script>", " ")
-    out = F.regexp_replace(out, r"(?is)<style.*?</style>", " ")
+    out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " ")
+    out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]+>", " "), r"\s+", " "))
 
 

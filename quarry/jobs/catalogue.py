@@ -323,6 +323,6 @@ def latency_percentiles(spark, sf_dir):
     return monitoring.latency(views.table(spark, sf_dir, "events"), "event_type", "value")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS text FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'gs'), '\\s+', ' ', 'g')) AS text FROM pages")
 def html_strip(spark, sf_dir):
     return views.table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))

@@ -121,3 +121,20 @@ def test_inverted_abstract_and_ordered_needles(spark):
     one = spark.createDataFrame([('{"i": {"b": [1, 3], "a": [0], "c": []}}', "abcab")], "j string, t string")
     has = lambda *n: extraction.ordered_contains(F.col("t"), F.array(*map(F.lit, n)))
     assert tuple(one.select(papers.uninverted(F.col("j"), "$.i"), has("ab", "bc", "ab"), has("bc", "bc"), has("ca", "abc")).first()) == ("a b b", True, False, False)
+
+
+def test_snapshots_and_entries_of_edge_cases(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import exports, snapshots
+
+    held = spark.createDataFrame([("a", [("s", None), ("s", "<b>one</b> two"), ("s", "three")]), ("b", []), ("c", None)], "snapshot_id string, items array<struct<source string, text string>>")
+    assert sorted((r.snippet_id, r.text, r.token_count) for r in snapshots.snippets(held, 2).collect()) == [("SNAP:a:S2", "one two", 2)]
+    seen = spark.sql("SELECT * FROM VALUES ('k', timestamp'2024-01-01 00:00:00'), ('k', timestamp'2024-01-01 00:00:10'), ('o', timestamp'2023-01-01 00:00:00') AS t(key, retrieved_at)")
+    now = F.lit("2024-01-01 00:01:00").cast("timestamp")
+    assert [(r.key, r.retrieved_at.second) for r in snapshots.cached(seen, now, 50).collect()] == [("k", 10)]
+    assert snapshots.cached(seen, now, 49).count() == snapshots.cached(seen, now, 0).count() == 0
+    papers = spark.createDataFrame([("x", "The Old Sea", ["Ann B. Cole"], 2001, None, "10.1/2", None, ""), ("y", None, [], None, "", None, "2101.1", None)], "paper_id string, title string, authors array<string>, year int, venue string, doi string, arxiv_id string, url string")
+    found = {r.paper_id: r for r in exports.bibtex(papers).collect()}
+    assert found["x"].entry == "@article{cole2001old,\n  title     = {The Old Sea},\n  author    = {Ann B. Cole},\n  year      = {2001},\n  doi       = {10.1/2},\n}"
+    assert found["y"].cite_key == "nd" and found["y"].entry == "@article{nd,\n  eprint    = {2101.1},\n  archiveprefix = {arXiv},\n}"
