@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.jobs.catalogue import VEC, query
 from quarry.operators import extraction, retrieval, vector_index
 from quarry.sources import views
-from quarry.sources.shared import shared_dir
 
 CELLS, PROBES, K, ROUNDS = 64, 16, 10, 2
 
@@ -32,28 +29,20 @@ def ivf_sql(rows: str = "TRUE", rounds: int = ROUNDS) -> str:
 PROBED = f"""pr AS (SELECT k.vec_id AS query_id, k.v AS q, ce.c AS c, ce.n AS n FROM iv k, ce WHERE k.vec_id % 50 = 0 AND ce.n > 0 QUALIFY row_number() OVER (PARTITION BY k.vec_id ORDER BY round(list_dot_product(ce.v, ce.v) - 2 * list_dot_product(k.v, ce.v), 12), ce.c) <= {PROBES}),
   pv AS (SELECT query_id, vec_id, round(list_dot_product(q, iv.v), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(q, iv.v), 9) DESC, vec_id) AS rank FROM pr JOIN iv USING (c) WHERE vec_id <> query_id)"""
 
-_built: dict[tuple, vector_index.VectorIndex] = {}
-
-
-def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    files = views.table(spark, sf_dir, "embeddings").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
-    return name, spark.sparkContext.applicationId, shared_dir(spark), sf_dir, tuple(sorted(map(tuple, files)))
-
-
 def built(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
-    """The index of all vectors, written once for each session and state of the table's files."""
-    if (state := _state(spark, sf_dir, "whole")) not in _built:
-        _built[state] = vector_index.build(views.table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", CELLS, rounds=ROUNDS)
-    return _built[state]
+    """The index of all vectors."""
+    return views.kept(spark, sf_dir, "embeddings", "whole", lambda: vector_index.build(views.table(spark, sf_dir, "embeddings"), views.place(spark, "vectors"), CELLS, rounds=ROUNDS))
 
 
 def grown(spark: SparkSession, sf_dir: str) -> vector_index.VectorIndex:
     """The index of four fifths of the vectors, and the rest appended."""
-    if (state := _state(spark, sf_dir, "grown")) not in _built:
-        v = views.table(spark, sf_dir, "embeddings")
-        own = vector_index.build(v.where("vec_id % 5 <> 0"), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", CELLS, rounds=ROUNDS)
-        _built[state] = vector_index.append(own, v.where("vec_id % 5 = 0"))
-    return _built[state]
+    v = views.table(spark, sf_dir, "embeddings")
+
+    def make():
+        own = vector_index.build(v.where("vec_id % 5 <> 0"), views.place(spark, "vectors"), CELLS, rounds=ROUNDS)
+        return vector_index.append(own, v.where("vec_id % 5 = 0"))
+
+    return views.kept(spark, sf_dir, "embeddings", "grown", make)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:

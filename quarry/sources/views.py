@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +38,32 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_indexes: dict[tuple, index.Index] = {}
+_kept: dict[tuple, object] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, table_name: str, what: str, make: Callable[[], object]):
+    """What make() gives, made once for each session and state of the table's files."""
+    files = table(spark, sf_dir, table_name).select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
+    state = (what, spark.sparkContext.applicationId, shared_dir(spark), sf_dir, tuple(sorted(map(tuple, files))))
+    if state not in _kept:
+        _kept[state] = make()
+    return _kept[state]
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def snippet_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The index of snippets, written to the shared folder once for each session and state of the table's files."""
-    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
-    state = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, tuple(sorted(map(tuple, files))))
-    if state not in _indexes:
-        _indexes[state] = index.build(snippets(spark, sf_dir), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
-    return _indexes[state]
+    return kept(spark, sf_dir, "documents", "snippets", lambda: index.build(snippets(spark, sf_dir), place(spark, "index")))
+
+
+def claims_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of claims by claim_id, likewise."""
+    rows = claims(spark, sf_dir).select(F.col("claim_id").cast("string").alias("snippet_id"), F.col("topic").alias("paper_id"), F.lit("claim").alias("section"), F.col("claim").alias("text"))
+    return kept(spark, sf_dir, "documents", "claims", lambda: index.build(rows, place(spark, "claims")))
 
 
 def snippets_sql() -> str:
