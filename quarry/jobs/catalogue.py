@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scores, text
 from quarry.operators import chunking, corpus, expansion, index, knowledge, monitoring, retrieval, stores
 from quarry.sources import views
+from quarry.sources.shared import written
 
 THIS_YEAR = 2026
 QUERIES: dict = {}
@@ -170,7 +171,7 @@ CLAIMS = f"cl AS (SELECT *, {CANON} AS canonical FROM ({views.CLAIMS_SQL}))"
   p AS (SELECT x.topic, x.claim_id AS a, y.claim_id AS b, len(list_intersect(x.ts, y.ts)) / greatest(1, len(list_distinct(list_concat(x.ts, y.ts)))) AS j FROM n x JOIN n y ON x.topic = y.topic AND x.claim_id < y.claim_id AND x.neg <> y.neg)
   SELECT topic, a, b, round(0.65 + 0.35 * j, 4) AS score FROM p WHERE j >= 0.3""")
 def contradiction_pairs(spark, sf_dir):
-    return knowledge.contradictions(views.claims(spark, sf_dir))
+    return knowledge.contradictions(views.claims(spark, sf_dir), keep=written)
 
 
 @query(f"""WITH {CLAIMS}, k AS (SELECT *, sha256(canonical) AS h, 0.4 + (claim_id % 6) / 10.0 AS confidence FROM cl),

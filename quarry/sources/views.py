@@ -94,18 +94,17 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str, words: int = 24) -> DataFrame:
-    """claim_id, topic, claim: every document in claims of words words, line by line; the first of every seventh document is denied."""
-    own = F.filter(F.split("line", r"\s+"), lambda w: w != "")
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "lang", "at", own.alias("ws")).where(F.size("ws") > 0)
-    parts = lines.select("doc_id", "lang", "at", "ws", F.explode(F.sequence(F.lit(0), ((F.size("ws") - 1) / words).cast("int"))).alias("part"))
-    told = F.array_join(F.slice("ws", F.col("part") * words + 1, words), " ")
-    denied = (F.col("doc_id") % 7 == 0) & (F.col("at") == 0) & (F.col("part") == 0)
-    return parts.select((F.col("doc_id") * 10000000 + F.col("at") * 1000 + F.col("part")).alias("claim_id"), F.col("lang").alias("topic"), F.when(denied, F.concat(F.lit("not "), told)).otherwise(told).alias("claim"))
-
-
-CLAIMS_SQL = """SELECT doc_id * 10000000 + (i - 1) * 1000 + part AS claim_id, lang AS topic, CASE WHEN doc_id % 7 = 0 AND i = 1 AND part = 0 THEN 'not ' ELSE '' END || array_to_string(ws[part * 24 + 1 : part * 24 + 24], ' ') AS claim
-  FROM (SELECT *, unnest(range(0, CAST(ceil(len(ws) / 24.0) AS BIGINT))) AS part FROM (SELECT doc_id, lang, i, list_filter(string_split_regex(string_split(text, chr(10))[i], '\\s+'), lambda x: x <> '') AS ws
-    FROM (SELECT doc_id, lang, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE len(ws) > 0)"""
+    """claim_id, topic, claim: every document in claims of words words, line by line, numbered within the document; the first of every seventh document is denied."""
+    told = lambda ws: F.transform(F.sequence(F.lit(0), ((F.size(ws) - 1) / words).cast("int")), lambda p: F.array_join(F.slice(ws, p * words + 1, words), " "))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")), lambda ws: F.size(ws) > 0)
+    parts = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.flatten(F.transform(lines, told))).alias("part", "told"))
+    denied = (F.col("doc_id") % 7 == 0) & (F.col("part") == 0)
+    return parts.select((F.col("doc_id") * 10000000 + F.col("part")).alias("claim_id"), F.col("lang").alias("topic"), F.when(denied, F.concat(F.lit("not "), "told")).otherwise(F.col("told")).alias("claim"))
+
+
+CLAIMS_SQL = """SELECT doc_id * 10000000 + n AS claim_id, lang AS topic, CASE WHEN doc_id % 7 = 0 AND n = 0 THEN 'not ' ELSE '' END || array_to_string(ws[part * 24 + 1 : part * 24 + 24], ' ') AS claim
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS n FROM (SELECT *, unnest(range(0, CAST(ceil(len(ws) / 24.0) AS BIGINT))) AS part FROM (SELECT doc_id, lang, i, list_filter(string_split_regex(string_split(text, chr(10))[i], '\\s+'), lambda x: x <> '') AS ws
+    FROM (SELECT doc_id, lang, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)) WHERE len(ws) > 0))"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
