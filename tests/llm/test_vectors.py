@@ -240,3 +240,23 @@ def test_alignment_of_very_many_regular_blocks():
     z = x.copy()
     z[39::40] += 1
     assert [p[:4] for p in substring_dedup.aligned(x, z, a, a, k, 50, 0.8)] == [(0, 40 * n - 1, 0, 40 * n - 1)]
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_nearest_by_short_lists(spark, clustered):
+    """50,000 vectors, 20 neighbours of each of 100: lists of 400, under a hundredth of the rows, grow where scores are dense."""
+    from quarry.llm import nearest
+
+    r, n = np.random.default_rng(1), 50_000
+    x = r.normal(size=(n, 64))
+    if clustered:
+        c = r.normal(size=(10, 64))
+        x = (c / np.linalg.norm(c, axis=1, keepdims=True))[r.integers(0, 10, n)] + 0.33 * x / 8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8)
+    found = {(a["query_id"], a["vec_id"]) for a in nearest.search(df, every=500).collect()}
+    asked = np.arange(0, n, 500)
+    score = x[asked] @ x.T
+    score[np.arange(100), asked] = -9
+    wanted = {(q, v) for q, row in zip(asked.tolist(), np.argpartition(-score, 20, 1)[:, :20].tolist()) for v in row}
+    assert len(found) == 2000 and len(found & wanted) >= 0.97 * len(wanted)
