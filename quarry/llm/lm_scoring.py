@@ -5,9 +5,10 @@
    counts in a join by word, so the vocabulary may be of any size.
 3. The recurrent model knows the model_words most frequent words, in classes that are the larger the rarer their words
    are; the others are one class of words to it, and their probability is that class' times their add-one share of its
-   training tokens. Every partition of the training documents trains a copy of the model, in two rounds (an eighth of the
-   documents, then the rest); after each round the copies are averaged by tokens, with a running sum for each piece of
-   PIECE parameters. Each training document is learnt from once.
+   training tokens. Copies of the model are trained in two rounds (an eighth of the documents, then the rest), one for each
+   COPY_TOKENS of a round, which documents are dealt to by their hash, however the input is partitioned; after each round
+   the copies are averaged by tokens, with a running sum for each piece of PIECE parameters, in slots of about SLOT_COPIES
+   copies first. Each training document is learnt from once.
 4. Every whole text is scored with its state carried through.
 
 Tokens are runs of characters other than ASCII white space, A to Z in lower case, and one end, which is counted as a
@@ -24,6 +25,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ END = b"\n"
 HELD_WORDS = 300_000
 #: Parameters that are averaged together.
 PIECE = 1 << 14
+#: Tokens that a copy of the model learns from in a round, and copies that are averaged in one slot.
+COPY_TOKENS, SLOT_COPIES = 1 << 19, 64
 #: Steps of frequency per factor of two that hot words are chosen by.
 FINE = 64
 
@@ -95,7 +99,7 @@ def _documents(words: Words, texts: list[str]) -> tuple[list[list[bytes]], np.nd
 def hot_of(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     """The most frequent words(word, n), most at most, by n and word: all above a frequency that comes from a histogram with FINE steps for a factor of two.
 
-    Words of one step are all in or all out; if the first step alone had more than most, none would be.
+    Words of one step are all in or all out; of a first step that alone has more than most, the first by n and word are in.
     """
     step = F.floor(F.log2("n") * FINE)
     sizes = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -106,36 +110,45 @@ def hot_of(counts: DataFrame, most: int) -> list[tuple[str, int]]:
             break
         least = at
     if least is None:
-        return []
+        return [(r["word"], r["n"]) for r in counts.where(step >= sizes[0][0]).orderBy(F.desc("n"), "word").limit(most).collect()] if sizes else []
     return sorted(((r["word"], r["n"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def averaged(copies: DataFrame) -> np.ndarray | None:
-    """The sum of copies(piece, seen, x) by tokens seen, over all tokens, one parameter after the other."""
+def averaged(copies: DataFrame, slots: int = 1) -> np.ndarray | None:
+    """The mean of copies(piece, slot, seen, x) by tokens seen, one parameter after the other; within slots first, if there are several."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, total = None, 0, None
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([(total / seen).astype("<f4").tobytes()], pa.binary())], ["piece", "x"])
+            return pa.RecordBatch.from_arrays([pa.array([own[0]], pa.int32()), pa.array([own[1]], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype("<f8").tobytes()], pa.binary())], ["piece", "slot", "seen", "x"])
 
         for batch in batches:
-            for piece, n, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if piece != own:
+            for piece, slot, n, x in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if (piece, slot) != own:
                     if own is not None:
                         yield out()
-                    own, seen, total = piece, 0, 0.0
-                seen, total = seen + n, total + n * np.frombuffer(x, "<f4").astype(np.float64)
+                    own, seen, total = (piece, slot), 0, 0.0
+                seen, total = seen + n, total + n * np.frombuffer(x, "<f8")
         if own is not None:
             yield out()
 
-    rows = copies.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, x binary").collect()
-    return np.concatenate([np.frombuffer(r["x"], "<f4") for r in sorted(rows, key=lambda r: r["piece"])]) if rows else None
+    kinds = "piece int, slot int, seen long, x binary"
+    if slots > 1:
+        copies = copies.repartition("piece", "slot").sortWithinPartitions("piece", "slot", "seen").mapInArrow(add, kinds).withColumn("slot", F.lit(0))
+    rows = copies.repartition("piece").sortWithinPartitions("piece", "slot", "seen").mapInArrow(add, kinds).collect()
+    return np.concatenate([np.frombuffer(r["x"], "<f8") for r in sorted(rows, key=lambda r: r["piece"])]).astype("<f4") if rows else None
 
 
-def trained(texts: DataFrame, words, model_words: int, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Parameters after one round over texts: the average of the partitions' copies by their tokens."""
+def trained(texts: DataFrame, tokens: int, words, model_words: int, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Parameters after one round over texts(text, deal) of about so many tokens: the average of copies by their tokens.
+
+    There is a copy for each COPY_TOKENS; texts are dealt to them by `deal` and learnt in its order, so the parameters don't
+    depend on how the input is partitioned.
+    """
     start = texts.sparkSession.sparkContext.broadcast(flat)
+    copies = max(1, -(-tokens // COPY_TOKENS))
+    slots = -(-copies // SLOT_COPIES)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words.value
@@ -146,10 +159,12 @@ def trained(texts: DataFrame, words, model_words: int, counts: np.ndarray, flat:
             trainer.learn(own.ids(ranks), starts, lengths)
             seen += len(ranks)
         if seen:
-            pieces = [model.flat[at : at + PIECE].astype("<f4").tobytes() for at in range(0, len(model.flat), PIECE)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "seen", "x"])
+            pieces = [model.flat[at : at + PIECE].astype("<f8").tobytes() for at in range(0, len(model.flat), PIECE)]
+            slot = TaskContext.get().partitionId() % slots
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([slot] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "slot", "seen", "x"])
 
-    found = averaged(texts.select("text").mapInArrow(learn, "piece int, seen long, x binary"))
+    dealt = texts.select("text", "deal").repartition(copies, "deal").sortWithinPartitions("deal", "text").select("text")
+    found = averaged(dealt.mapInArrow(learn, "piece int, slot int, seen long, x binary"), slots)
     return flat if found is None else found
 
 
@@ -157,7 +172,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 1 <
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     text_id = F.col("doc_id").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(text_id) % folds == fold, F.lit(False)).alias("held_out"), (F.xxhash64(text_id) % 8 == 0).alias("early"), whole_text().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.crc32(text_id) % folds == fold, F.lit(False)).alias("held_out"), (F.xxhash64(text_id) % 8 == 0).alias("early"), whole_text().alias("text")).withColumn("deal", F.xxhash64("doc_id", "text"))
     training = texts.where(~F.col("held_out"))
     with Scratch(spark) as s:
         counts = s.table(word_counts(training), "words")
@@ -178,8 +193,8 @@ def _scored(s: Scratch, texts: DataFrame, training: DataFrame, counts: DataFrame
 
     flat = Model(known + 1, words.value.first, counts=own).flat
     early = F.coalesce(F.col("early"), F.lit(False))
-    for part in (early, ~early):
-        flat = trained(training.where(part), words, model_words, own, flat)
+    for part, share in ((early, 1 / 8), (~early, 7 / 8)):
+        flat = trained(training.where(part), int(total["n"] * share), words, model_words, own, flat)
 
     learnt = spark.sparkContext.broadcast(flat)
 

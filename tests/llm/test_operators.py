@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -327,6 +328,34 @@ def test_hot_words(spark):
     assert len(lm_scoring.hot_of(frame, 500)) == 500 and lm_scoring.hot_of(frame.limit(0), 10) == []
 
 
+def test_one_step_of_too_many_words(spark):
+    rows = [(f"w{i:03d}", 5) for i in range(50)] + [("x", 1)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    assert lm_scoring.hot_of(counts, 8) == [(f"w{i:03d}", 5) for i in range(8)]
+    assert len(lm_scoring.hot_of(counts, 60)) == 51 and lm_scoring.hot_of(counts.where("false"), 8) == []
+
+
+@pytest.mark.parametrize("slots", [1, 3])
+def test_copies_are_averaged_by_tokens(spark, slots):
+    r = np.random.default_rng(3)
+    copies = [(int(r.integers(1, 90)), r.normal(size=5)) for _ in range(10)]
+    rows = [(piece, i % slots, n, bytearray((x[:3] if piece == 0 else x[3:]).astype("<f8").tobytes())) for i, (n, x) in enumerate(copies) for piece in (0, 1)]
+    found = lm_scoring.averaged(spark.createDataFrame(rows, "piece int, slot int, seen long, x binary").repartition(4), slots)
+    want = sum(n * x for n, x in copies) / sum(n for n, _ in copies)
+    assert np.allclose(found, want, atol=1e-6)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_language_model_learns_however_its_input_is_dealt(spark):
+    """On held-out documents the model beats word frequencies by a tenth of a decade a token, the same from 1 and from 32 partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gains = []
+    for parts in (1, 32):
+        told = lm_scoring.score(docs.repartition(parts)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        gains.append((told["s"] - told["b"]) / told["n"])
+    assert min(gains) >= 0.1 and abs(gains[0] - gains[1]) < 0.01
+
+
 def test_language_model_width():
     assert gru.Model(64, 0).width == 12
 
