@@ -30,7 +30,7 @@ CODES = 16
 #: Centres of cells; a cell's number is one byte.
 CELLS = 64
 #: Shortlists end this many deviations of the codes' error under the k-th best score, or at SPARE times rerank * k.
-GAP, SPARE = 3.0, 8
+GAP, SPARE = 2.0, 8
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
@@ -186,8 +186,10 @@ def shortlist(s: Scratch, fitting: DataFrame, asked: DataFrame, sample: list[lis
         return run
 
     kinds = "ids binary, cell binary, x binary"
-    codes = s.table(fitting.mapInArrow(blocks(block_rows, True), kinds), "codes")
-    queries = s.table(asked.mapInArrow(blocks(query_rows, False), kinds), "queries")
+    # full blocks, however many small files the vectors lie in: a task's shortlists are then short beside what it meets
+    full = lambda df, size: df.coalesce(max(1, -(-df.count() // size)))
+    codes = s.table(full(fitting, block_rows).mapInArrow(blocks(block_rows, True), kinds), "codes")
+    queries = s.table(full(asked, query_rows).mapInArrow(blocks(query_rows, False), kinds), "queries")
 
     def trimmed(ids: np.ndarray, score: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
         """The least best rows, and those that are no more than within under the k-th, most at most."""
