@@ -143,8 +143,8 @@ def averaged(copies: DataFrame, slots: int = 1) -> np.ndarray | None:
 def trained(texts: DataFrame, tokens: int, words, model_words: int, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """Parameters after one round over texts(text, deal) of about so many tokens: the average of copies by their tokens.
 
-    There is a copy for each COPY_TOKENS; texts are dealt to them by `deal` and learnt in its order, so the parameters don't
-    depend on how the input is partitioned.
+    There is a copy for each COPY_TOKENS, and texts are dealt to them by `deal`, so what a copy learns from doesn't depend on
+    how the input is partitioned; the order in which it does may, and moves scores little.
     """
     start = texts.sparkSession.sparkContext.broadcast(flat)
     copies = max(1, -(-tokens // COPY_TOKENS))
@@ -163,7 +163,7 @@ def trained(texts: DataFrame, tokens: int, words, model_words: int, counts: np.n
             slot = TaskContext.get().partitionId() % slots
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([slot] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "slot", "seen", "x"])
 
-    dealt = texts.select("text", "deal").repartition(copies, "deal").sortWithinPartitions("deal", "text").select("text")
+    dealt = texts.select("text", "deal").repartition(copies, "deal").select("text")
     found = averaged(dealt.mapInArrow(learn, "piece int, slot int, seen long, x binary"), slots)
     return flat if found is None else found
 
