@@ -24,7 +24,7 @@ table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialise, slices, whole_text
+from quarry.llm.common import Scratch, materialise, slices, whole_text, write_scratch
 from quarry.llm.components import components
 
 HASHES = 128
@@ -229,7 +229,7 @@ def parities(held: DataFrame) -> DataFrame:
     return held.groupBy("node").agg(*(F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == i, bit)), F.lit(0)).alias(f"p{i}") for i in range(PARITY_WORDS)))
 
 
-def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int, keep: Callable[[DataFrame, str], DataFrame] = materialise) -> DataFrame:
     """a, b: all pairs of nodes(node, component) of different components that can be similar, by prefix and position.
 
     Shingles are ordered by the number of components that hold them, rarest first; those of one component match nothing. Two sets with the asked similarity share one
@@ -249,12 +249,12 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 
     # repeated rows have one key and one text
     held = nodes.join(texts, "node").select("node", "component", "text").dropDuplicates(["node"]).mapInArrow(spread, "node long, component long, n long, gram long")
-    held = materialise(held, "grams")
+    held = keep(held, "grams")
     common = held.groupBy("gram").agg(F.countDistinct("component").alias("count"))
     ranked = held.join(common, "gram").withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("count", "gram")) - 1)
     first = ranked.where((F.col("count") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
     words = [f"p{i}" for i in range(PARITY_WORDS)]
-    first = materialise(first.join(parities(held), "node").select("gram", "node", "component", "n", "at", *words), "prefixes")
+    first = keep(first.join(parities(held), "node").select("gram", "node", "component", "n", "at", *words), "prefixes")
     x, y = (first.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "at", *words))) for s in "xy")
     apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in words))
     few = (100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
@@ -265,11 +265,17 @@ def prefix_pairs(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    with Scratch(docs.sparkSession) as s:
+        path = write_scratch(_judged(s, docs, k, percent, miss), "near-documents")
+    return docs.sparkSession.read.parquet(path)
+
+
+def _judged(s: Scratch, docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     threshold = percent / 100
-    sketched = materialise(sketches(docs, k), "sketches")
+    sketched = s.table(sketches(docs, k), "sketches")
     shingled = sketched.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
     classes = shingled.groupBy("set_hash").agg(F.min(F.struct("doc_id", "key", "n_shingles", "signature")).alias("c"))
-    classes = materialise(classes.select("set_hash", "c.doc_id", F.col("c.key").alias("node"), F.col("c.n_shingles").alias("n"), F.col("c.signature").alias("signature")), "classes")
+    classes = s.table(classes.select("set_hash", "c.doc_id", F.col("c.key").alias("node"), F.col("c.n_shingles").alias("n"), F.col("c.signature").alias("signature")), "classes")
     texts = docs.where(F.col("doc_id").cast("long").isNotNull()).select(text_key().alias("node"), whole_text().alias("text"))
     # rows of one doc_id with other sets are the same document
     several = shingled.groupBy("doc_id").agg(F.min("set_hash").alias("first"), F.max("set_hash").alias("last")).where("first <> last").select("doc_id", "first")
@@ -280,28 +286,28 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, miss: float
     buckets = banded(classes, band_rows(threshold, miss))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("band", "node").alias("h"), F.col("node").alias("leader"), F.col("n").alias("leader_n"))).alias("l"))
     shared = shared.where("size > 1").select("band", "bucket", "l.leader", "l.leader_n")
-    in_shared = materialise(buckets.join(shared, ["band", "bucket"]), "buckets")
+    in_shared = s.table(buckets.join(shared, ["band", "bucket"]), "buckets")
 
     star = in_shared.where((F.col("node") != F.col("leader")) & _near("n", "leader_n", percent)).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).count()
     likely = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("count"), F.xxhash64("a", "b")))
     star = star.withColumn("turn", likely).where(F.col("turn") <= LEADERS).select("a", "b")
-    star = materialise(pruned(star, classes, threshold, miss), "star")
+    star = s.table(pruned(star, classes, threshold, miss), "star")
 
     best = star.groupBy("a").agg(F.max(F.struct("matches", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = materialise(verified(best, texts, k, percent).union(same).distinct(), "links")
-    found = materialise(components(links), "found")
+    links = s.table(verified(best, texts, k, percent).union(same).distinct(), "links")
+    found = s.table(components(links, s.table), "found")
     for _ in range(HUBS):
         held = in_shared.select("node", "n", "band", "bucket").join(found, "node", "left").select("node", "n", "band", "bucket", F.coalesce("component", "node").alias("component"))
-        held = materialise(held, "held")
-        pairs = materialise(hub_pairs(held, links, percent), "hubs")
+        held = s.table(held, "held")
+        pairs = s.table(hub_pairs(held, links, percent), "hubs")
         more = verified(pruned(pairs, classes, threshold, miss).select("a", "b"), texts, k, percent)
-        links = links.union(materialise(more.distinct(), "links"))
-        found = materialise(components(links), "found")
+        links = links.union(s.table(more.distinct(), "links"))
+        found = s.table(components(links, s.table), "found")
 
     held = in_shared.select("node", "band", "bucket").join(found, "node", "left").select("node", "band", "bucket", F.coalesce("component", "node").alias("component"))
     open_ = held.join(mixed_buckets(held), ["band", "bucket"]).select("node", "component").distinct()
-    pairs = prefix_pairs(materialise(open_, "open"), texts, k, percent)
-    found = materialise(components(links.union(verified(pairs, texts, k, percent))), "found")
+    pairs = prefix_pairs(s.table(open_, "open"), texts, k, percent, s.table)
+    found = s.table(components(links.union(verified(pairs, texts, k, percent)), s.table), "found")
 
     grouped = classes.join(found, "node", "left").select("set_hash", "doc_id", F.coalesce("component", "node").alias("group"))
     lowest = grouped.groupBy("group").agg(F.min("doc_id").alias("component"))

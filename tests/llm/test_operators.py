@@ -469,16 +469,77 @@ def test_cutting_keeps_to_its_own_row(spark):
         substring_dedup.cut_passages(frame.withColumn(substring_dedup.CUT[0], F.lit(1)))
 
 
-def test_pipeline(spark, tmp_path, docs):
+def test_near_duplicates_leave_their_result_alone(spark, docs):
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    near_dedup.near_duplicates(docs)
+    before = set(os.listdir(place))
+    near_dedup.near_duplicates(docs)
+    assert [x.split("-")[0] for x in set(os.listdir(place)) - before] == ["near"]
+
+
+def test_pipeline(spark, tmp_path, docs, tokenizer):
+    """Each stage on what the one before kept, against its decisions in Python; the whole run against the stages."""
     import corpus_pipeline
 
     columns = ("doc_id", "text", "lang", "n_chars")
     docs.select(*columns).write.parquet(str(tmp_path / "documents.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "substring_dedup", "secret_scan", "packing"]
-    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, frame, str(tmp_path)).columns == frame.columns
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    frames = [spark.read.parquet(str(tmp_path / "documents.parquet"))]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, frames[-1], str(tmp_path)).write.parquet(str(tmp_path / name))
+        frames.append(spark.read.parquet(str(tmp_path / name)))
+    assert all(f.columns == frames[0].columns for f in frames[:-1])
+    rows = [sorted(((r["doc_id"], r["text"]) for r in f.collect()), key=repr) for f in frames[:-1]]
+
+    kept = Counter((r["doc_id"],) for r in quality_rules.judge(frames[0], *VOCABULARIES).where("kept").collect())
+    assert Counter((i,) for i, _ in rows[1]) == kept and rows[1]
+
+    sets = {i: shingles(t, 5) for i, t in rows[1] if i is not None}
+    low = {i: i for i in sets}
+    for _ in sets:
+        for i, j in itertools.combinations(sets, 2):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low[i] = low[j] = min(low[i], low[j])
+    assert rows[2] == sorted(((i, t) for i, t in rows[1] if i is None or low[i] == i), key=repr)
+
+    found = substring_dedup.passages(frames[2]).collect()
+    spans = {}
+    for r in found:
+        spans.setdefault(r["doc_id"], set()).add((r["start"], r["stop"]))
+    cut = {i: t for i, t in rows[3] if i is not None}
+    for i, t in rows[2]:
+        if i in spans:
+            words = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+            gone = {w for a, z in spans[i] for w in range(a, z)}
+            assert cut[i].split() == [m[0] for w, m in enumerate(words) if w not in gone]
+        elif i is not None:
+            assert cut[i] == t
+
+    hidden = {r["doc_id"]: r["spans"] for r in secret_scan.scan_digest(frames[3]).collect() if r["doc_id"] is not None}
+    clean = {i: t for i, t in rows[4] if i is not None}
+    assert len(rows[4]) == len(rows[3])
+    for i, t in cut.items():
+        assert (clean[i] == t) == (hidden[i] == "")
+    assert all(r["spans"] == "" for r in secret_scan.scan_digest(frames[4]).collect())
+
+    pieces = {}
+    for r in frames[5].collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    once = Counter(i for i, _ in rows[4])
+    for i, t in clean.items():
+        if once[i] > 1:  # repeated rows are packed each on its own
+            continue
+        n, at = len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1, 0
+        for start, length, total in sorted(pieces[i]):
+            assert (start, total) == (at, n)
+            at += length
+        assert at == n
+
+    place = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(place))
+    told = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(repr, told.collect())) == sorted(map(repr, frames[5].collect()))
+    assert [x for x in set(os.listdir(place)) - before if x.startswith("stage-")] == [told.inputFiles()[0].split("/")[-2]]
 
 
 assert public_tokenizers
