@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import near_dedup, packing, quality_rules, secret_scan, substring_dedup
-from quarry.llm.common import read_table, write_scratch
+from quarry.llm.common import read_table, remove, write_scratch
 from quarry.llm.queries import BYTE_BPE, VOCABULARIES
 
 
@@ -41,7 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The packed documents; the table of a stage is removed when the next one's is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = spark.read.parquet(write_scratch(stage(spark, docs, sf_dir), f"stage-{name}"))
+        path = write_scratch(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
