@@ -39,7 +39,7 @@ HELD_WORDS = 300_000
 #: Parameters that are averaged together.
 PIECE = 1 << 14
 #: Tokens that a copy of the model learns from in a round, and copies that are averaged in one slot.
-COPY_TOKENS, SLOT_COPIES = 1 << 19, 64
+COPY_TOKENS, SLOT_COPIES = 1 << 20, 64
 #: Steps of frequency per factor of two that hot words are chosen by.
 FINE = 64
 
@@ -114,10 +114,13 @@ def hot_of(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(((r["word"], r["n"]) for r in counts.where(step >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def averaged(copies: DataFrame, slots: int = 1) -> np.ndarray | None:
-    """The mean of copies(piece, slot, seen, x) by tokens seen, one parameter after the other; within slots first, if there are several."""
+def averaged(copies: DataFrame, slots: int = 1, kind: str = "<f8") -> np.ndarray | None:
+    """The mean of copies(piece, slot, seen, x) by tokens seen, one parameter after the other; within slots first, if there are several. kind: of the parameters in x."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def adding(kind: str):
+        return lambda batches: add(batches, kind)
+
+    def add(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
         own, seen, total = None, 0, None
 
         def out() -> pa.RecordBatch:
@@ -129,14 +132,15 @@ def averaged(copies: DataFrame, slots: int = 1) -> np.ndarray | None:
                     if own is not None:
                         yield out()
                     own, seen, total = (piece, slot), 0, 0.0
-                seen, total = seen + n, total + n * np.frombuffer(x, "<f8")
+                seen, total = seen + n, total + n * np.frombuffer(x, kind).astype(np.float64)
         if own is not None:
             yield out()
 
     kinds = "piece int, slot int, seen long, x binary"
     if slots > 1:
-        copies = copies.repartition("piece", "slot").sortWithinPartitions("piece", "slot", "seen").mapInArrow(add, kinds).withColumn("slot", F.lit(0))
-    rows = copies.repartition("piece").sortWithinPartitions("piece", "slot", "seen").mapInArrow(add, kinds).collect()
+        copies = copies.repartition("piece", "slot").sortWithinPartitions("piece", "slot", "seen").mapInArrow(adding(kind), kinds).withColumn("slot", F.lit(0))
+    last = adding("<f8" if slots > 1 else kind)
+    rows = copies.repartition("piece").sortWithinPartitions("piece", "slot", "seen").mapInArrow(last, kinds).collect()
     return np.concatenate([np.frombuffer(r["x"], "<f8") for r in sorted(rows, key=lambda r: r["piece"])]).astype("<f4") if rows else None
 
 
@@ -159,12 +163,12 @@ def trained(texts: DataFrame, tokens: int, words, model_words: int, counts: np.n
             trainer.learn(own.ids(ranks), starts, lengths)
             seen += len(ranks)
         if seen:
-            pieces = [model.flat[at : at + PIECE].astype("<f8").tobytes() for at in range(0, len(model.flat), PIECE)]
+            pieces = [model.flat[at : at + PIECE].astype("<f4").tobytes() for at in range(0, len(model.flat), PIECE)]
             slot = TaskContext.get().partitionId() % slots
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([slot] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "slot", "seen", "x"])
 
     dealt = texts.select("text", "deal").repartition(copies, "deal").select("text")
-    found = averaged(dealt.mapInArrow(learn, "piece int, slot int, seen long, x binary"), slots)
+    found = averaged(dealt.mapInArrow(learn, "piece int, slot int, seen long, x binary"), slots, "<f4")
     return flat if found is None else found
 
 
