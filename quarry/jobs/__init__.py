@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.jobs import answers, catalogue, evidence, extraction, indexing, ingest, kb, live, monitor, papers, reports, routes, sessions, streams, vectors  # noqa: F401  (each registers its queries)
+from quarry.jobs import answers, catalogue, evidence, exporting, extraction, indexing, ingest, kb, live, monitor, papers, reports, routes, sessions, streams, vectors  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:

@@ -68,10 +68,10 @@ def latency(rows: DataFrame, group: str, value: str, buckets: int = 64) -> DataF
     counts = rows.select(group, F.col(value).alias("v")).where(F.col("v").isNotNull()).groupBy(group, "v").agg(F.count("*").alias("n"))
     ends = counts.groupBy(group).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("all"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
     share = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
-    dealt = counts.join(F.broadcast(ends), group).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(share * buckets)))
+    dealt = counts.join(ends, group).withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(share * buckets)))
     sizes = dealt.groupBy(group, "bucket").agg(F.sum("n").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(group).orderBy("bucket")) - F.col("size")).drop("size")
-    last = dealt.join(F.broadcast(before), [group, "bucket"]).withColumn("last", F.col("before") + F.sum("n").over(Window.partitionBy(group, "bucket").orderBy("v")) - 1)
+    last = dealt.join(before, [group, "bucket"]).withColumn("last", F.col("before") + F.sum("n").over(Window.partitionBy(group, "bucket").orderBy("v")) - 1)
     at = lambda p: F.min(F.when(F.col("last") >= F.floor((F.col("all") - 1) * F.lit(p)), F.col("v")))
     return last.groupBy(group).agg(F.first("all").alias("n"), F.round(F.first("mean"), 6).alias("mean_ms"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.round(1000 / F.first("mean"), 6).alias("qps"))
 
