@@ -15,7 +15,13 @@
    seeds of its own, next to each other and at fixed distances, so their common hash is a key of the run. Where documents
    share such a key and no passage covers a run that it can lie in, the runs are looked up in all documents that hold the
    key and matched with their first document. So each word of a run of least_words words that a document with a smaller
-   id holds too is in a row. (Passages with changed words are still sought by seeds alone.)
+   id holds too is in a row.
+6. Passages with changed words that the two partners leave out: a chain has two seeds in turn, max_gap words apart or less,
+   so two such seeds are a key. Where a document has a key with a seed that no passage covers (its place is open), it meets
+   every document with a smaller id that holds the key, in tiles of TILE places by TILE places however many these are. What
+   can't be a passage goes at once, by the definition of 4: no other seed of either lies near, and the words around match too
+   little. The matches of the others are chained and aligned as in 3 and 4. So each open seed of a chain of seeds within
+   max_gap words of it that makes a passage with a document with a smaller id is in a row.
 
 Seeds that a look at one document in SAMPLE shows to be very common are dealt to SALTS tasks each, so that a passage that
 very many documents share isn't one task's work; what is found doesn't depend on it.
@@ -49,6 +55,9 @@ SAMPLE = 64
 SALTS, COMMON = 64, 1e-3
 #: Chains whose words are cut from a text at once.
 CHAINS = 256
+#: Places of two seeds that meet as many others in a task, and documents with such places that are sent to all tasks.
+TILE, FEW = 2048, 100_000
+PLACES = ["doc_id", "start", "stop", "source_id", "source_start", "source_stop", "text_hash"]
 PASSAGES = "doc_id long, start int, stop int, source_id long, source_start int, source_stop int, identity double, text_hash long"
 
 
@@ -105,7 +114,7 @@ class Fenwick:
 
 
 def chains(a: np.ndarray, b: np.ndarray, k: int, gap_cost: float, max_gap: int) -> list[np.ndarray]:
-    """Index arrays of the chains of matches (a in the source, b in the document, ascending in b), best first, cut at gaps."""
+    """Index arrays of the chains of matches (a in the source, b in the document, ascending in b, then descending in a), best first, cut at gaps."""
     n = len(a)
     step_a, step_b = np.diff(a), np.diff(b)
     if n > 1 and (step_a > 0).all() and (step_b > 0).all() and max(step_a.max(), step_b.max()) <= max_gap:
@@ -152,13 +161,13 @@ def chained(matches: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFr
 
     def chain_pairs(rows: np.ndarray, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
         pair = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        fresh = np.concatenate([[True], (np.diff(rows[2]) > 0) | (np.diff(pair) > 0)])
+        fresh = np.concatenate([[True], (np.diff(rows[2]) != 0) | (np.diff(rows[3]) != 0) | (np.diff(pair) > 0)])
         pair, (doc, source, b, a) = pair[fresh], rows[:, fresh]
         first = np.flatnonzero(np.concatenate([[True], np.diff(pair) > 0]))
         size = np.diff(np.append(first, len(pair)))
         # most pairs are one chain as they stand
         step_a, step_b = np.diff(a, append=a[-1:]), np.diff(b, append=b[-1:])
-        fine = (step_a > 0) & (step_a <= max_gap) & (step_b <= max_gap)
+        fine = (step_a > 0) & (step_b > 0) & (step_a <= max_gap) & (step_b <= max_gap)
         fine[np.append(first[1:], len(pair)) - 1] = True
         whole = (size > 1) & np.logical_and.reduceat(fine, first)
         rows_of = np.repeat(whole, size)
@@ -178,7 +187,8 @@ def chained(matches: DataFrame, k: int, gap_cost: float, max_gap: int) -> DataFr
         lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (a, b)]
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(source), *lists], ["doc", "source", "a", "b"])
 
-    ordered = matches.select("doc", "source", "b", "a", "fresh").repartition("doc", "source").sortWithinPartitions("doc", "source", "b", "a")
+    # of matches with equal b the one with the largest a comes first, so that none of them is taken to go before another
+    ordered = matches.select("doc", "source", "b", "a").repartition("doc", "source").sortWithinPartitions("doc", "source", "b", F.desc("a"))
     return ordered.mapInArrow(run, "doc long, source long, a array<int>, b array<int>")
 
 
@@ -363,20 +373,20 @@ def common_seeds(found: DataFrame) -> list[int]:
 
 
 def shared_seeds(s: Scratch, texts: DataFrame, k: int, window: int, least_words: int) -> DataFrame:
-    """seed, doc, pos, fresh, and the first and last document of the seed with a place in each, of the seeds that two documents hold or more."""
+    """seed, doc, pos, fresh, and the first and last document of the seed with a place in each, of the seeds that two documents hold or more; held: how many texts hold it."""
     heavy = common_seeds(seeds(texts.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SAMPLE)) == 0).select("doc", "text"), k, window, least_words))
     salt = F.when(F.col("seed").isin(heavy), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0) if heavy else F.lit(0)
     # one shuffle serves both the naming and the matching
     every = seeds(texts.select("doc", "text"), k, window, least_words).withColumn("salt", salt.cast("int")).repartition("seed", "salt")
     fresh = lambda c: F.when(F.col("fresh"), F.col(c))
-    named = every.groupBy("seed", "salt").agg(F.min("doc").alias("first"), F.min_by(fresh("pos"), fresh("doc")).alias("first_pos"), F.max("doc").alias("last"), F.max_by(fresh("pos"), fresh("doc")).alias("last_pos"))
+    named = every.groupBy("seed", "salt").agg(F.min("doc").alias("first"), F.min_by(fresh("pos"), fresh("doc")).alias("first_pos"), F.max("doc").alias("last"), F.max_by(fresh("pos"), fresh("doc")).alias("last_pos"), F.count_if("fresh").alias("held"))
     both = every.join(named.where((F.col("first") < F.col("last")) | (F.col("salt") > 0)), ["seed", "salt"])
     if not heavy:
         return s.table(both.drop("salt"), "shared")
     both = s.table(both, "parts")
-    columns = ["seed", "doc", "pos", "fresh", "first", "first_pos", "last", "last_pos"]
+    columns = ["seed", "doc", "pos", "fresh", "first", "first_pos", "last", "last_pos", "held"]
     # a row for each common seed comes to the driver, 1 / COMMON at most
-    ends = both.where("salt > 0").groupBy("seed").agg(F.min("first").alias("first"), F.min_by("first_pos", "first").alias("first_pos"), F.max("last").alias("last"), F.max_by("last_pos", "last").alias("last_pos")).collect()
+    ends = both.where("salt > 0").groupBy("seed").agg(F.min("first").alias("first"), F.min_by("first_pos", "first").alias("first_pos"), F.max("last").alias("last"), F.max_by("last_pos", "last").alias("last_pos"), F.count_if("fresh").alias("held")).collect()
     told = lambda c: F.create_map(*[F.lit(x) for r in ends for x in (r["seed"], r[c])])[F.col("seed")].alias(c)
     dealt = both.where("salt > 0").select(*columns[:4], *map(told if ends else F.col, columns[4:]))
     shared = s.table(both.where("salt = 0").select(*columns).union(dealt.where("first < last").select(*columns)), "shared")
@@ -391,15 +401,163 @@ def passages(docs: DataFrame, k: int = 5, window: int = 8, least_words: int = 45
         shared = shared_seeds(s, texts, k, window, least_words)
         by_seeds = s.table(chained_passages(s, texts, shared, k, least_words, least_identity, gap_cost, max_gap), "passages")
         by_runs = exact_passages(s, texts, shared.select("seed", "doc", "pos"), by_seeds, k, window, least_words)
-        path = write_scratch(by_seeds.union(by_runs), "found")
+        found = s.table(by_seeds.union(by_runs), "runs_found")
+        s.drop(by_seeds)
+        matches = open_matches(s, texts, shared, found, k, window, least_words, max_gap)
+        s.drop(shared)
+        rest = aligned_passages(s, texts, matches, k, least_words, least_identity, gap_cost, max_gap)
+        path = write_scratch(found.union(rest.join(found, PLACES, "left_anti").select(found.columns)), "found")
     return docs.sparkSession.read.schema(PASSAGES).parquet(path)
 
 
 def chained_passages(s: Scratch, texts: DataFrame, shared: DataFrame, k: int, least_words: int, least_identity: float, gap_cost: float, max_gap: int) -> DataFrame:
-    """Rows of PASSAGES by chains of seeds."""
+    """Rows of PASSAGES by chains of seeds, each place with the first and the last document of its seed."""
     pair = lambda to, at: F.when((F.col("doc") != F.col("first")) & (F.col("doc") != F.col(to)), F.struct(F.col(to).alias("source"), F.col(at).alias("a")))
     to_first = F.when(F.col("doc") != F.col("first"), F.struct(F.col("first").alias("source"), F.col("first_pos").alias("a")))
-    matches = shared.select("doc", F.col("pos").alias("b"), "fresh", F.explode(F.array_compact(F.array(to_first, pair("last", "last_pos")))).alias("m")).select("doc", "b", "m.source", "m.a", "fresh")
+    matches = shared.select("doc", F.col("pos").alias("b"), F.explode(F.array_compact(F.array(to_first, pair("last", "last_pos")))).alias("m")).select("doc", "b", "m.source", "m.a")
+    return aligned_passages(s, texts, matches, k, least_words, least_identity, gap_cost, max_gap)
+
+
+def seed_pairs(pos: np.ndarray, seed: np.ndarray, held: np.ndarray, shut: np.ndarray, max_gap: int) -> tuple[np.ndarray, ...]:
+    """key, pos, gap, open, lead: two seeds in turn, max_gap words apart or less; open: one of them isn't shut; lead: the key's first place.
+
+    Two seeds that two texts hold each have met in them. Places that neither are open nor lead are left out.
+    """
+    cols: list[list[np.ndarray]] = [[], [], [], []]
+    for i in range(1, len(pos)):
+        at = np.flatnonzero(pos[i:] - pos[:-i] <= max_gap)
+        if not len(at):
+            break
+        at = at[(np.maximum(held[at], held[at + i]) > 2) & (pos[at] < pos[at + i])]
+        key = mixed(mixed(seed[at].view(np.uint64)) + seed[at + i].view(np.uint64))
+        for col, x in zip(cols, (key.view(np.int64), pos[at], pos[at + i] - pos[at], ~(shut[at] & shut[at + i]))):
+            col.append(x)
+    if not cols[0]:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+    key, at, gap, free = (np.concatenate(c) for c in cols)
+    order = np.lexsort((gap, at, key))
+    key, at, gap, free = key[order], at[order], gap[order], free[order]
+    lead = np.concatenate([np.ones(min(1, len(key)), dtype=bool), np.diff(key) != 0])
+    kept = free | lead
+    return key[kept], at[kept], gap[kept], free[kept].astype(np.int64), lead[kept].astype(np.int64)
+
+
+def hopeful(left: np.ndarray, right: np.ndarray, other_left: np.ndarray, other_right: np.ndarray, need: int) -> np.ndarray:
+    """Which others match in need words or more beyond both ends, as reach() has it. Words lie outwards, one row for each other."""
+    if need <= 0:
+        return np.ones(len(other_left), dtype=bool)
+    same = [other_left == left, other_right == right]
+    # two of three words beyond an end match, at least
+    some = np.flatnonzero(3 * (same[0].sum(1) + same[1].sum(1)) >= 2 * need)
+    words = np.zeros(len(some), dtype=np.int64)
+    for x in same:
+        total = np.cumsum(np.where(x[some], 1, -2), axis=1)
+        best = total.argmax(1)
+        words += np.where(total[np.arange(len(some)), best] > 0, best + 1, 0)
+    out = np.zeros(len(other_left), dtype=bool)
+    out[some[words >= need]] = True
+    return out
+
+
+def open_matches(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataFrame, k: int, window: int, least_words: int, max_gap: int) -> DataFrame:
+    """doc, source, b, a: the matches of open places with all documents of smaller ids that hold their two seeds."""
+
+    def pairs_of(rows: np.ndarray):
+        doc, pos, kind, other, held = rows
+        at, span = np.flatnonzero(kind == 0), kind == 1
+        shut = covered(pos[at], pos[at], pos[span], other[span], k)
+        key, at, gap, free, lead = seed_pairs(pos[at], other[at], held[at], shut, max_gap)
+        return (key, np.full(len(key), doc[0]), at, gap, free, lead) if len(key) else None
+
+    # rows of a doc_id with several texts say nothing about which of them they cover
+    several = texts.groupBy("doc").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("doc")
+    long = lambda c, name: F.col(c).cast("long").alias(name)
+    spans = found.select(F.col("doc_id").alias("doc"), long("start", "pos"), F.lit(1).cast("long").alias("kind"), long("stop", "other"), F.lit(0).cast("long").alias("held")).distinct().join(several, "doc", "left_anti")
+    held = shared.select("doc", long("pos", "pos"), F.lit(0).cast("long").alias("kind"), F.col("seed").alias("other"), "held")
+    keys = s.table(by_doc(held.union(spans), pairs_of, "key long, doc long, pos long, gap long, open long, lead long", "pos"), "two_seeds")
+    sizes = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("open") == 1, F.col("doc"))).alias("latest"), F.sum("open").alias("opens"), F.sum("lead").alias("leads")).where("first < latest")
+    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int").alias(c)
+    wanted = s.table(keys.join(sizes.select("key", tiles("opens"), tiles("leads")), "key"), "wanted_seeds")
+    s.drop(keys)
+    listed = s.table(wanted.groupBy("doc").agg(F.collect_set(F.struct("key", "pos", "gap", "open", "lead", "opens", "leads")).alias("places")), "open_places")
+    s.drop(wanted)
+    if listed.count() <= FEW:
+        listed = F.broadcast(listed)
+    kinds = "key long, opens int, leads int, doc long, pos long, gap long, open long, lead long, left binary, right binary, near array<long>"
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for doc, text, places in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                words = word_hashes(text).astype("<u4")
+                at, x = minimizers(text, k, window, least_words)
+                x = x.view(np.int64)
+                for p in places:
+                    pos, end = p["pos"], p["pos"] + p["gap"]
+                    if end + k > len(words):
+                        continue  # a place of another text with the same doc_id
+                    low, high = np.searchsorted(at, [pos - max_gap, end + max_gap + 1])
+                    near = x[low:high][(at[low:high] != pos) & (at[low:high] != end)].tolist()
+                    out.append((p["key"], p["opens"], p["leads"], doc, pos, p["gap"], p["open"], p["lead"], words[max(0, pos - REACH) : pos][::-1].tobytes(), words[end + k : end + k + REACH].tobytes(), near))
+            if out:
+                types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in kinds.split(", ")])
+
+    places = s.table(texts.join(listed, "doc").select("doc", "text", "places").mapInArrow(around, kinds), "around")
+    dealt = lambda c: F.pmod(F.xxhash64("doc", "pos", "gap"), F.col(c)).cast("int")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    columns = ["key", "doc", "pos", "gap", "left", "right", "near"]
+    asking = places.where("open = 1").select(F.lit(1).alias("asks"), dealt("opens").alias("i"), upto("leads").alias("j"), *columns)
+    asked = places.where("lead = 1").select(F.lit(0).alias("asks"), upto("opens").alias("i"), dealt("leads").alias("j"), *columns)
+
+    def matrix(parts: list[bytes], fill: int) -> np.ndarray:
+        out = np.full((len(parts), REACH), fill, dtype=np.int64)
+        for row, x in zip(out, parts):
+            row[: len(x) // 4] = np.frombuffer(x, "<u4")
+        return out
+
+    def tile(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sides = [[r for r in rows if r[0] == x] for x in (1, 0)]
+        if not sides[0] or not sides[1]:
+            return
+        (doc, pos, gap), (source, a, a_gap) = (np.array([r[1:4] for r in side], dtype=np.int64).T for side in sides)
+        (left, right), (others_left, others_right) = ((matrix([r[4] for r in side], fill), matrix([r[5] for r in side], fill)) for side, fill in zip(sides, (-1, -2)))
+        known = {x: i for i, x in enumerate({x for r in sides[1] for x in r[6]})}
+        near = np.full((len(source), max(1, max(len(r[6]) for r in sides[1]))), len(known))
+        for row, r in zip(near, sides[1]):
+            row[: len(r[6])] = [known[x] for x in r[6]]
+        mark = np.zeros(len(known) + 1, dtype=bool)
+        for i, r in enumerate(sides[0]):
+            own = [known[x] for x in r[6] if x in known]
+            mark[own] = True
+            before = source < doc[i]
+            fine = before & mark[near].any(1)
+            mark[own] = False
+            rest = np.flatnonzero(before & ~fine)
+            fine[rest[hopeful(left[i], right[i], others_left[rest], others_right[rest], least_words - k - int(gap[i]))]] = True
+            at = np.flatnonzero(fine)
+            if len(at):
+                b = np.repeat([pos[i], pos[i] + gap[i]], len(at))
+                cols = (np.full(2 * len(at), doc[i]), np.tile(source[at], 2), b, np.concatenate([a[at], a[at] + a_gap[at]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "source", "b", "a"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = None, []
+        for batch in batches:
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != own:
+                    yield from tile(rows)
+                    own, rows = (key, i, j), []
+                rows.append(row)
+        yield from tile(rows)
+
+    both = asking.union(asked).select("key", "i", "j", "asks", *columns[1:])
+    met = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "doc long, source long, b long, a long")
+    return s.table(met, "met")
+
+
+def aligned_passages(s: Scratch, texts: DataFrame, matches: DataFrame, k: int, least_words: int, least_identity: float, gap_cost: float, max_gap: int) -> DataFrame:
+    """Rows of PASSAGES by the chains of matches(doc, source, b, a)."""
     found = chained(matches, k, gap_cost, max_gap)
     found = s.table(found.withColumn("chain", F.xxhash64("doc", "source", "a", "b")), "chains")
 

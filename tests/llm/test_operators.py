@@ -448,6 +448,32 @@ def test_fuzzy_passages_by_alignment(spark):
     assert set(held) <= {(d, s) for d, s, _, _ in planted} | {(2 * i + 1, 2 * i) for i in range(60)}
 
 
+def test_changed_passages_beyond_the_partners_of_a_seed(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TILE", 2, raising=False)
+    pieces = [" ".join(f"p{j}w{i}" for i in range(14)) for j in range(5)]
+    pad = lambda i, x: " ".join(f"{x}{i}w{j}" for j in range(40))
+    # each piece has other first and last documents; 50 to 54 hold all pieces with another word between them each, and no run of 45
+    rows = [(at + j, f"{pad(at + j, 'a')} {piece} {pad(at + j, 'b')}") for at in (10, 20, 80, 90) for j, piece in enumerate(pieces)]
+    rows += [(i, f"{pad(i, 'a')} {' '.join(f'{piece} n{i}v{j}' for j, piece in enumerate(pieces))} {pad(i, 'b')}") for i in range(50, 55)]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len({tuple(r) for r in found})
+    for i in range(51, 55):
+        own = [r for r in found if r["doc_id"] == i]
+        assert {r["source_id"] for r in own} == set(range(50, i)) and all(r["start"] <= 40 and r["stop"] >= 114 and 0.8 <= r["identity"] < 1 for r in own)
+    assert {r["doc_id"] for r in found} == set(range(51, 55))
+
+
+def test_words_beyond_both_ends_by_definition():
+    r = np.random.default_rng(4)
+    reach = substring_dedup.REACH
+    for need in (1, 6, 15, 30):
+        own, others = r.integers(0, 3, (2, reach)), r.integers(0, 3, (2, 400, reach))
+        for side, x in zip(own, others):
+            x[:] = np.where(r.random(x.shape) < r.random((400, 1)), side, x)
+        wanted = [sum(substring_dedup.reach(side == x[i])[0] for side, x in zip(own, others)) >= need for i in range(400)]
+        assert substring_dedup.hopeful(*own, *others, need).tolist() == wanted and any(wanted) and not all(wanted)
+
+
 def test_common_seeds_are_dealt_and_change_nothing(spark, monkeypatch):
     stock = prose(77, 60)
     frame = spark.createDataFrame([(i, f"{prose(300 + i, 20)} {stock} {prose(700 + i, 20)}") for i in range(300)], "doc_id long, text string")
