@@ -187,11 +187,15 @@ def windows(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: int
     order = np.concatenate(dealt)
     long = np.array([lengths[own].sum() for own in dealt])
     offset = np.cumsum(long) - long
-    doc = np.repeat(order, lengths[order])
-    place = np.arange(len(doc)) + np.repeat(starts[order] - (np.cumsum(lengths[order]) - lengths[order]), lengths[order])
-    word = ids[place]
+    # a slice of texts has fewer than 2^31 tokens
+    doc = np.repeat(order.astype(np.int32), lengths[order])
+    place = np.repeat((starts[order] - (np.cumsum(lengths[order]) - lengths[order])).astype(np.int32), lengths[order])
+    place += np.arange(len(doc), dtype=np.int32)
+    word = ids.astype(np.int32, copy=False)[place]
+    del place
     begins = np.concatenate([[True], doc[1:] != doc[:-1]])
-    before = np.where(begins, first, np.concatenate([[first], word[:-1]]))
+    before = np.concatenate([np.array([first], dtype=np.int32), word[:-1]])
+    before[begins] = first
     begins = (~begins).astype(np.float32)
     for low in range(0, int(long[0]), steps):
         going = int((long > low).sum())

@@ -83,17 +83,22 @@ class Words:
 
     def ranks(self, tokens: list[bytes]) -> np.ndarray:
         """Ranks, -1 for words that aren't hot."""
-        return np.fromiter(map(self.rank.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+        return np.fromiter(map(self.rank.get, tokens, repeat(-1)), dtype=np.int32, count=len(tokens))
 
     def ids(self, ranks: np.ndarray) -> np.ndarray:
         return np.where((ranks < 0) | (ranks >= self.known), self.known, ranks)
 
 
 def _documents(words: Words, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    tokens = [tokens_of(t) for t in texts]
-    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-    ranks = np.concatenate([words.ranks(t) for t in tokens])
-    return tokens, ranks, np.cumsum(lengths) - lengths, lengths
+    """The words that aren't hot of each text, ranks of all tokens, and where each text begins and its length; one text's tokens are held at a time."""
+    rare, ranks = [], []
+    for text in texts:
+        tokens = tokens_of(text)
+        own = words.ranks(tokens)
+        rare.append([tokens[i] for i in np.flatnonzero(own < 0).tolist()])
+        ranks.append(own)
+    lengths = np.array([len(x) for x in ranks], dtype=np.int64)
+    return rare, np.concatenate(ranks), np.cumsum(lengths) - lengths, lengths
 
 
 def hot_of(counts: DataFrame, most: int) -> list[tuple[str, int]]:
@@ -206,14 +211,13 @@ def _scored(s: Scratch, texts: DataFrame, training: DataFrame, counts: DataFrame
         w = words.value
         model = Model(w.known + 1, w.first, flat=learnt.value)
         for batch in text_slices(batches, 3):
-            tokens, ranks, starts, lengths = _documents(w, batch.column(3).to_pylist())
+            rare, ranks, starts, lengths = _documents(w, batch.column(3).to_pylist())
+            cuts = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(list(chain.from_iterable(rare)), pa.binary()).cast(pa.string()))
             ids = w.ids(ranks)
             scores = document_scores(model, ids, starts, lengths) / np.log(10)
             sums = lambda x: np.add.reduceat(x, starts)
             logs, outside = w.log[ranks], ids == w.known
-            every, at = list(chain.from_iterable(tokens)), np.flatnonzero(ranks < 0)
-            cuts = np.append(np.searchsorted(at, starts), len(at)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array([every[i] for i in at.tolist()], pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(lengths), pa.array(sums((ranks >= 0).astype(np.int64))), pa.array(sums(logs)), pa.array(scores + sums(np.where(outside, logs - others, 0.0))), rare],
                 ["row", "doc_id", "held_out", "n_tokens", "n_hot", "logs", "score", "rare"],

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter
@@ -255,6 +256,22 @@ def test_language_model(docs, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_tokens_of_many_texts_are_not_held():
+    texts = [" ".join(f"w{(i * 31 + j) % 5000}" for j in range(2000)) for i in range(100)]
+    hot = [(f"w{i}", 5000 - i) for i in range(4900)]
+    words = lm_scoring.Words(hot, 1 << 12)
+    tracemalloc.start()
+    rare, ranks, starts, lengths = lm_scoring._documents(words, texts)
+    ids = words.ids(ranks)
+    turns = sum(1 for _ in gru.windows(ids, starts, lengths, words.first))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = [t for x in texts for t in lm_scoring.tokens_of(x)]
+    assert len(ranks) == len(every) == 100 * 2001 and turns > 100
+    assert [t for x in rare for t in x] == [t for t in every if t not in words.rank] and all(len(x) == sum(t not in words.rank for t in lm_scoring.tokens_of(y)) for x, y in zip(rare, texts))
+    assert peak < 40 * len(every)  # bytes a token
+
+
 def test_gru_gradient_and_probabilities():
     r = np.random.default_rng(0)
     model = gru.Model(40, 0, width=4, per_class=8, counts=r.integers(1, 50, 40))
