@@ -480,6 +480,18 @@ def test_changed_passages_beyond_the_partners_of_a_seed(spark, monkeypatch):
     assert {r["doc_id"] for r in found} == set(range(51, 55))
 
 
+def test_stage_cuts_changed_passages_that_share_no_partner(spark):
+    import corpus_pipeline
+
+    pieces = [" ".join(f"p{j}w{i}" for i in range(14)) for j in range(4)]
+    pad = lambda i, x: " ".join(f"{x}{i}w{j}" for j in range(20))
+    rows = [(at + j, f"{pad(at + j, 'a')} {piece} {pad(at + j, 'b')}") for at in (10, 90) for j, piece in enumerate(pieces)]
+    rows += [(i, f"{pad(i, 'a')} {' '.join(f'{piece} n{i}v{j}' for j, piece in enumerate(pieces))} {pad(i, 'b')}") for i in (50, 51)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in corpus_pipeline.passages(spark, frame, "").collect()}
+    assert all(cut[i] == text for i, text in rows if i != 51) and not re.search(r"p\dw", cut[51]) and cut[51].startswith(pad(51, "a")) and cut[51].endswith(pad(51, "b"))
+
+
 def test_words_beyond_both_ends_by_definition():
     r = np.random.default_rng(4)
     reach = substring_dedup.REACH
