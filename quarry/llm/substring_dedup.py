@@ -17,12 +17,16 @@
    key and matched with their first document. So each word of a run of least_words words that a document with a smaller
    id holds too is in a row.
 6. Passages with changed words that the two partners leave out: a chain has two seeds in turn, max_gap words apart or less,
-   so two such seeds are a key. Where a document has a key with a seed that no passage covers (its place is open), it meets
-   every document with a smaller id that holds the key, in tiles of TILE places by TILE places however many these are. What
-   can't be a passage goes at once, by the definition of 4: no other seed of either lies near, and the words around match too
-   little. The matches of the others are chained and aligned as in 3 and 4. A document takes
-   part with its first open place of a key, and the one with the smaller id with its first place: what comes again later in
-   a document is sought by partners and by runs alone.
+   so two such seeds are a key. Each place of a key with a seed that no passage covers (it is open) meets every place of the
+   key in all documents with smaller ids, in tiles of TILE places by TILE places however many these are. What can't be a
+   passage goes at once. A passage whose seeds lie within max_gap words has its first and last seed as a key, and by 4 the
+   words between them and those that match beyond both are least_words or more. Any other passage has, for each of its
+   seeds, a key around it or from it with a further seed beyond, more than max_gap words from the key's other end (`far`).
+   The matches of the others are chained and aligned as in 3 and 4. Places of a key in one document that have the same words
+   and seeds around them are told apart by nothing that is asked of them: later documents meet the first of them.
+
+Where one word stands over and over, every k-mer is the same and every place a seed. Of these the first and the last alone
+are matched and chained, each with its like (3, 6; 2: the first). Exact runs are found by all of them (5).
 
 Seeds that a look at one document in SAMPLE shows to be very common are dealt to SALTS tasks each, so that a passage that
 very many documents share isn't one task's work; what is found doesn't depend on it.
@@ -57,7 +61,9 @@ SALTS, COMMON = 64, 1e-3
 #: Chains whose words are cut from a text at once.
 CHAINS = 256
 #: Places of two seeds that meet as many others in a task.
-TILE = 2048
+TILE = 8192
+#: Tells the last seed of a stretch of equal ones from the first.
+LAST = 0x5851F42D4C957F2D
 PLACES = ["doc_id", "start", "stop", "source_id", "source_start", "source_stop", "text_hash"]
 PASSAGES = "doc_id long, start int, stop int, source_id long, source_start int, source_stop int, identity double, text_hash long"
 
@@ -73,21 +79,37 @@ def minimizers(text: str, k: int, window: int, least_words: int) -> tuple[np.nda
     return at, x[at]
 
 
+def stretches(x: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Which of x to keep: of equal ones at places at that follow each other, the first, the last and each step-th."""
+    same = np.zeros(len(x) + 1, dtype=bool)
+    same[1:-1] = (x[1:] == x[:-1]) & (np.diff(at) == 1)
+    place = np.arange(len(x))
+    begin = np.maximum.accumulate(np.where(same[:-1], 0, place))
+    return ~(same[:-1] & same[1:]) | ((place - begin) % step == 0)
+
+
+def stretch_ends(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """1 for the first of equal x at places at that follow each other, and for one alone, 2 for the last, 0 between."""
+    same = np.zeros(len(x) + 1, dtype=bool)
+    same[1:-1] = (x[1:] == x[:-1]) & (np.diff(at) == 1)
+    return np.where(same[:-1], np.where(same[1:], 0, 2), 1).astype(np.int32)
+
+
 def seeds(docs: DataFrame, k: int, window: int, least_words: int) -> DataFrame:
-    """seed, doc, pos, fresh (the document's first occurrence of the seed)."""
+    """seed, doc, pos, fresh (the document's first occurrence of the seed), ends as stretch_ends() has it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 at, x = minimizers(text, k, window, least_words)
                 fresh = np.zeros(len(x), dtype=bool)
                 fresh[np.unique(x, return_index=True)[1]] = True
-                for col, v in zip(cols, (x.view(np.int64), np.full(len(x), doc, dtype=np.int64), at.astype(np.int32), fresh)):
+                for col, v in zip(cols, (x.view(np.int64), np.full(len(x), doc, dtype=np.int64), at.astype(np.int32), fresh, stretch_ends(x, at))):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "doc", "pos", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "doc", "pos", "fresh", "ends"])
 
-    return docs.mapInArrow(find, "seed long, doc long, pos int, fresh boolean")
+    return docs.mapInArrow(find, "seed long, doc long, pos int, fresh boolean, ends int")
 
 
 class Fenwick:
@@ -348,9 +370,11 @@ def exact_passages(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataF
                 for place in found:
                     low, part = place["low"], h[place["low"] : place["high"] + words]
                     if len(part) >= words:
-                        x = rolled(part, words)
-                        cols[0].append(x.view(np.int64))
-                        cols[1].append(np.arange(low, low + len(x)))
+                        x, at = rolled(part, words), np.arange(low, low + len(part) - words + 1)
+                        # one word over and over: the runs kept hold all its words
+                        kept = stretches(x, at, words)
+                        cols[0].append(x.view(np.int64)[kept])
+                        cols[1].append(at[kept])
                 if cols[0]:
                     gram, pos = (np.concatenate(c) for c in cols)
                     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), doc)), pa.array(np.full(len(gram), tag)), pa.array(pos)], ["gram", "doc", "tag", "pos"])
@@ -374,22 +398,26 @@ def common_seeds(found: DataFrame) -> list[int]:
 
 
 def shared_seeds(s: Scratch, texts: DataFrame, k: int, window: int, least_words: int) -> DataFrame:
-    """seed, doc, pos, fresh, and the first and last document of the seed with a place in each, of the seeds that two documents hold or more; held: how many texts hold it."""
+    """seed, doc, pos, fresh, ends, and the first and last document of the seed with a place in each, of the seeds that two documents hold or more.
+
+    held: how many texts hold it, and one more if one holds it more than once.
+    """
     heavy = common_seeds(seeds(texts.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SAMPLE)) == 0).select("doc", "text"), k, window, least_words))
     salt = F.when(F.col("seed").isin(heavy), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0) if heavy else F.lit(0)
     # one shuffle serves both the naming and the matching
     every = seeds(texts.select("doc", "text"), k, window, least_words).withColumn("salt", salt.cast("int")).repartition("seed", "salt")
     fresh = lambda c: F.when(F.col("fresh"), F.col(c))
-    named = every.groupBy("seed", "salt").agg(F.min("doc").alias("first"), F.min_by(fresh("pos"), fresh("doc")).alias("first_pos"), F.max("doc").alias("last"), F.max_by(fresh("pos"), fresh("doc")).alias("last_pos"), F.count_if("fresh").alias("held"))
+    held = (F.count_if("fresh") + (F.count("*") > F.count_if("fresh")).cast("long")).alias("held")
+    named = every.groupBy("seed", "salt").agg(F.min("doc").alias("first"), F.min_by(fresh("pos"), fresh("doc")).alias("first_pos"), F.max("doc").alias("last"), F.max_by(fresh("pos"), fresh("doc")).alias("last_pos"), held)
     both = every.join(named.where((F.col("first") < F.col("last")) | (F.col("salt") > 0)), ["seed", "salt"])
     if not heavy:
         return s.table(both.drop("salt"), "shared")
     both = s.table(both, "parts")
-    columns = ["seed", "doc", "pos", "fresh", "first", "first_pos", "last", "last_pos", "held"]
+    columns = ["seed", "doc", "pos", "fresh", "ends", "first", "first_pos", "last", "last_pos", "held"]
     # a row for each common seed comes to the driver, 1 / COMMON at most
-    ends = both.where("salt > 0").groupBy("seed").agg(F.min("first").alias("first"), F.min_by("first_pos", "first").alias("first_pos"), F.max("last").alias("last"), F.max_by("last_pos", "last").alias("last_pos"), F.count_if("fresh").alias("held")).collect()
+    ends = both.where("salt > 0").groupBy("seed").agg(F.min("first").alias("first"), F.min_by("first_pos", "first").alias("first_pos"), F.max("last").alias("last"), F.max_by("last_pos", "last").alias("last_pos"), held).collect()
     told = lambda c: F.create_map(*[F.lit(x) for r in ends for x in (r["seed"], r[c])])[F.col("seed")].alias(c)
-    dealt = both.where("salt > 0").select(*columns[:4], *map(told if ends else F.col, columns[4:]))
+    dealt = both.where("salt > 0").select(*columns[:5], *map(told if ends else F.col, columns[5:]))
     shared = s.table(both.where("salt = 0").select(*columns).union(dealt.where("first < last").select(*columns)), "shared")
     s.drop(both)
     return shared
@@ -415,35 +443,33 @@ def chained_passages(s: Scratch, texts: DataFrame, shared: DataFrame, k: int, le
     """Rows of PASSAGES by chains of seeds, each place with the first and the last document of its seed."""
     pair = lambda to, at: F.when((F.col("doc") != F.col("first")) & (F.col("doc") != F.col(to)), F.struct(F.col(to).alias("source"), F.col(at).alias("a")))
     to_first = F.when(F.col("doc") != F.col("first"), F.struct(F.col("first").alias("source"), F.col("first_pos").alias("a")))
-    matches = shared.select("doc", F.col("pos").alias("b"), F.explode(F.array_compact(F.array(to_first, pair("last", "last_pos")))).alias("m")).select("doc", "b", "m.source", "m.a")
+    matches = shared.where("ends = 1").select("doc", F.col("pos").alias("b"), F.explode(F.array_compact(F.array(to_first, pair("last", "last_pos")))).alias("m")).select("doc", "b", "m.source", "m.a")
     return aligned_passages(s, texts, matches, k, least_words, least_identity, gap_cost, max_gap)
 
 
 def seed_pairs(pos: np.ndarray, seed: np.ndarray, held: np.ndarray, shut: np.ndarray, max_gap: int) -> tuple[np.ndarray, ...]:
-    """key, pos, gap, open, lead: two seeds in turn, max_gap words apart or less; open: the key's first place where one of them isn't shut; lead: the key's first place.
+    """key, pos, gap, open of each two seeds in turn, max_gap words apart or less; open: a seed from the first to the second isn't shut.
 
-    Two seeds that two texts hold each have met in them. Other places are left out.
+    Seeds that two texts hold each, and once, have met in them: keys of such seeds alone, those between counted in, are left out.
     """
     cols: list[list[np.ndarray]] = [[], [], [], []]
+    free, many = (np.concatenate([[0], np.cumsum(x)]) for x in (~shut, held > 2))
     for i in range(1, len(pos)):
         at = np.flatnonzero(pos[i:] - pos[:-i] <= max_gap)
         if not len(at):
             break
-        at = at[(np.maximum(held[at], held[at + i]) > 2) & (pos[at] < pos[at + i])]
+        at = at[(many[at + i + 1] > many[at]) & (pos[at] < pos[at + i])]
         key = mixed(mixed(seed[at].view(np.uint64)) + seed[at + i].view(np.uint64))
-        for col, x in zip(cols, (key.view(np.int64), pos[at], pos[at + i] - pos[at], ~(shut[at] & shut[at + i]))):
+        for col, x in zip(cols, (key.view(np.int64), pos[at], pos[at + i] - pos[at], (free[at + i + 1] > free[at]).astype(np.int64))):
             col.append(x)
-    if not cols[0]:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
-    key, at, gap, free = (np.concatenate(c) for c in cols)
-    order = np.lexsort((gap, at, key))
-    key, at, gap, free = key[order], at[order], gap[order], free[order]
-    lead = np.concatenate([np.ones(min(1, len(key)), dtype=bool), np.diff(key) != 0])
-    at_free = np.flatnonzero(free)
-    free = np.zeros(len(key), dtype=bool)
-    free[at_free[np.concatenate([np.ones(min(1, len(at_free)), dtype=bool), np.diff(key[at_free]) != 0])]] = True
-    kept = free | lead
-    return key[kept], at[kept], gap[kept], free[kept].astype(np.int64), lead[kept].astype(np.int64)
+    return tuple(np.concatenate(c) if c else np.zeros(0, dtype=np.int64) for c in cols)
+
+
+def far(x: np.ndarray, at: np.ndarray, pos: int, end: int, max_gap: int) -> list[tuple[int, int, bool]]:
+    """The seeds x at places at near a key's seeds at pos and end: seed with its side, place, whether it is more than max_gap words from the key's other end."""
+    low, first, last, high = np.searchsorted(at, [pos - max_gap, pos, end + 1, end + max_gap + 1]).tolist()
+    found = [(s, p, p < end - max_gap) for s, p in zip((~x[low:first]).tolist(), at[low:first].tolist())]
+    return found + [(s, p, p > pos + max_gap) for s, p in zip(x[last:high].tolist(), at[last:high].tolist())]
 
 
 def hopeful(left: np.ndarray, right: np.ndarray, other_left: np.ndarray, other_right: np.ndarray, need: int) -> np.ndarray:
@@ -464,28 +490,33 @@ def hopeful(left: np.ndarray, right: np.ndarray, other_left: np.ndarray, other_r
 
 
 def open_matches(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataFrame, k: int, window: int, least_words: int, max_gap: int) -> DataFrame:
-    """doc, source, b, a: the matches of open places with all documents of smaller ids that hold their two seeds."""
+    """doc, source, b, a: the matches of open places with all places of their two seeds in documents of smaller ids, and of the far seeds that they share."""
+    fold = max_gap + 1
 
     def pairs_of(rows: np.ndarray):
         doc, pos, kind, other, held = rows
         at, span = np.flatnonzero(kind == 0), kind == 1
+        # repeated rows have equal places
+        at = at[np.unique(np.stack([pos[at], other[at]]), axis=1, return_index=True)[1]]
         shut = covered(pos[at], pos[at], pos[span], other[span], k)
-        key, at, gap, free, lead = seed_pairs(pos[at], other[at], held[at], shut, max_gap)
-        return (key, np.full(len(key), doc[0]), at, gap, free, lead) if len(key) else None
+        key, at, gap, free = seed_pairs(pos[at], other[at], held[at], shut, max_gap)
+        return (key, np.full(len(key), doc[0]), (at * fold + gap) * 2 + free) if len(key) else None
 
     # rows of a doc_id with several texts say nothing about which of them they cover
     several = texts.groupBy("doc").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("doc")
     long = lambda c, name: F.col(c).cast("long").alias(name)
     spans = found.select(F.col("doc_id").alias("doc"), long("start", "pos"), F.lit(1).cast("long").alias("kind"), long("stop", "other"), F.lit(0).cast("long").alias("held")).distinct().join(several, "doc", "left_anti")
-    held = shared.select("doc", long("pos", "pos"), F.lit(0).cast("long").alias("kind"), F.col("seed").alias("other"), "held")
-    keys = s.table(by_doc(held.union(spans), pairs_of, "key long, doc long, pos long, gap long, open long, lead long", "pos"), "two_seeds")
-    sizes = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("open") == 1, F.col("doc"))).alias("latest"), F.sum("open").alias("opens"), F.sum("lead").alias("leads")).where("first < latest")
-    tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int").alias(c)
-    wanted = s.table(keys.join(sizes.select("key", tiles("opens"), tiles("leads")), "key"), "wanted_seeds")
-    s.drop(keys)
-    listed = s.table(wanted.groupBy("doc").agg(F.collect_set(F.struct("key", "pos", "gap", "open", "lead", "opens", "leads")).alias("places")), "open_places")
-    s.drop(wanted)
-    kinds = "key long, opens int, leads int, doc long, pos long, gap long, open long, lead long, left binary, right binary, near array<long>"
+    told = F.when(F.col("ends") == 2, F.col("seed").bitwiseXOR(F.lit(LAST))).otherwise(F.col("seed"))
+    held = shared.where("ends > 0").select("doc", long("pos", "pos"), F.lit(0).cast("long").alias("kind"), told.alias("other"), "held")
+    # one shuffle serves both the sizes and the places
+    keys = by_doc(held.union(spans), pairs_of, "key long, doc long, place long", "pos").repartition("key")
+    is_open = F.col("place") % 2 == 1
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(is_open, F.col("doc"))).alias("latest"), tiles(F.count_if(is_open)).alias("opens"), tiles(F.count("*")).alias("all")).where("first < latest")
+    wanted = s.table(keys.join(sizes, "key").where("doc < latest or place % 2 = 1").select("key", "doc", "place", "opens", "all"), "wanted_seeds")
+    listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "opens", "all")).alias("places"))
+    kinds = "key long, opens int, all int, doc long, pos long, gap long, open long, lead long, left binary, right binary, near array<long>, near_pos array<long>, near_far array<boolean>"
+    names = [x.split()[0] for x in kinds.split(", ")]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -493,55 +524,92 @@ def open_matches(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataFra
             for doc, text, places in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 words = word_hashes(text).astype("<u4")
                 at, x = minimizers(text, k, window, least_words)
-                x = x.view(np.int64)
-                for p in places:
-                    pos, end = p["pos"], p["pos"] + p["gap"]
-                    if end + k > len(words):
+                ends = stretch_ends(x, at)
+                x = np.where(ends == 2, x.view(np.int64) ^ LAST, x.view(np.int64))
+                at, x = at[ends > 0], x[ends > 0]
+                there, met = set(at.tolist()), set()
+                for p in sorted(places, key=lambda p: p["place"]):
+                    pos, gap = divmod(p["place"] // 2, fold)
+                    end = pos + gap
+                    if pos not in there or end not in there:
                         continue  # a place of another text with the same doc_id
-                    low, high = np.searchsorted(at, [pos - max_gap, end + max_gap + 1])
-                    near = x[low:high][(at[low:high] != pos) & (at[low:high] != end)].tolist()
-                    out.append((p["key"], p["opens"], p["leads"], doc, pos, p["gap"], p["open"], p["lead"], words[max(0, pos - REACH) : pos][::-1].tobytes(), words[end + k : end + k + REACH].tobytes(), near))
+                    near = far(x, at, pos, end, max_gap)
+                    left, right = words[max(0, pos - REACH) : pos][::-1].tobytes(), words[end + k : end + k + REACH].tobytes()
+                    looks = (p["key"], gap, words[pos : end + k].tobytes(), left, right, tuple((n[0], n[1] - pos) for n in near))
+                    out.append((p["key"], p["opens"], p["all"], doc, pos, gap, p["place"] % 2, int(looks not in met), left, right, *([n[i] for n in near] for i in range(3))))
+                    met.add(looks)
             if out:
-                types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in kinds.split(", ")])
+                types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     places = s.table(texts.join(listed, "doc").select("doc", "text", "places").mapInArrow(around, kinds), "around")
+    s.drop(wanted)
     dealt = lambda c: F.pmod(F.xxhash64("doc", "pos", "gap"), F.col(c)).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    columns = ["key", "doc", "pos", "gap", "left", "right", "near"]
-    asking = places.where("open = 1").select(F.lit(1).alias("asks"), dealt("opens").alias("i"), upto("leads").alias("j"), *columns)
-    asked = places.where("lead = 1").select(F.lit(0).alias("asks"), upto("opens").alias("i"), dealt("leads").alias("j"), *columns)
-
-    def matrix(parts: list[bytes], fill: int) -> np.ndarray:
-        out = np.full((len(parts), REACH), fill, dtype=np.int64)
-        for row, x in zip(out, parts):
-            row[: len(x) // 4] = np.frombuffer(x, "<u4")
-        return out
+    columns = ["key", "doc", "pos", "gap", "left", "right", "near", "near_pos", "near_far"]
+    asking = places.where("open = 1").select(F.lit(1).alias("asks"), dealt("opens").alias("i"), upto("all").alias("j"), *columns)
+    asked = places.where("lead = 1").select(F.lit(0).alias("asks"), upto("opens").alias("i"), dealt("all").alias("j"), *columns)
+
+    def words_of_sides(rows: list[tuple], fill: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words outwards, a row for each place; what isn't there is fill."""
+        sides = []
+        for column in (4, 5):
+            out = np.full((len(rows), REACH), fill, dtype=np.int64)
+            for row, r in zip(out, rows):
+                row[: len(r[column]) // 4] = np.frombuffer(r[column], "<u4")
+            sides.append(out)
+        return tuple(sides)
+
+    def enough(left: np.ndarray, right: np.ndarray, others_left: np.ndarray, others_right: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Where two of three of need words match beyond the ends, at least: hopeful() asks no less."""
+        same = np.zeros((len(left), len(others_left)), dtype=np.uint8)
+        for x, y in ((left, others_left), (right, others_right)):
+            for own, other in zip(x.T, np.ascontiguousarray(y.T)):
+                same += own[:, None] == other
+        return 3 * same.astype(np.int16) >= 2 * need[:, None]
+
+    def index_of(rows: list[tuple], beyond: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """The rows with a seed near, or beyond a key's other end, and its places in them."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for j, r in enumerate(rows):
+            for x, p, f in zip(*r[6:9]):
+                if f or not beyond:
+                    found.setdefault(x, []).append((j, p))
+        return {x: tuple(np.array(v, dtype=np.int64).T) for x, v in found.items()}
 
     def tile(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         sides = [[r for r in rows if r[0] == x] for x in (1, 0)]
         if not sides[0] or not sides[1]:
             return
         (doc, pos, gap), (source, a, a_gap) = (np.array([r[1:4] for r in side], dtype=np.int64).T for side in sides)
-        (left, right), (others_left, others_right) = ((matrix([r[4] for r in side], fill), matrix([r[5] for r in side], fill)) for side, fill in zip(sides, (-1, -2)))
-        known = {x: i for i, x in enumerate({x for r in sides[1] for x in r[6]})}
-        near = np.full((len(source), max(1, max(len(r[6]) for r in sides[1]))), len(known))
-        for row, r in zip(near, sides[1]):
-            row[: len(r[6])] = [known[x] for x in r[6]]
-        mark = np.zeros(len(known) + 1, dtype=bool)
-        for i, r in enumerate(sides[0]):
-            own = [known[x] for x in r[6] if x in known]
-            mark[own] = True
-            before = source < doc[i]
-            fine = before & mark[near].any(1)
-            mark[own] = False
-            rest = np.flatnonzero(before & ~fine)
-            fine[rest[hopeful(left[i], right[i], others_left[rest], others_right[rest], least_words - k - int(gap[i]))]] = True
-            at = np.flatnonzero(fine)
-            if len(at):
-                b = np.repeat([pos[i], pos[i] + gap[i]], len(at))
-                cols = (np.full(2 * len(at), doc[i]), np.tile(source[at], 2), b, np.concatenate([a[at], a[at] + a_gap[at]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["doc", "source", "b", "a"])
+        # as whole numbers of 64 bits: no word is -1 or -2
+        (left, right), (others_left, others_right) = words_of_sides(sides[0], -1), words_of_sides(sides[1], -2)
+        need = least_words - k - gap
+        near, beyond = index_of(sides[1], False), index_of(sides[1], True)
+        step = max(1, (1 << 16) // len(source))
+        for low in range(0, len(doc), step):
+            some = slice(low, low + step)
+            before = source < doc[some, None]
+            likely = enough(left[some], right[some], others_left, others_right, need[some]) & before
+            out = []
+            for i, own in enumerate(likely):
+                i += low
+                fine = np.zeros(len(source), dtype=bool)
+                for x, p, f in zip(*sides[0][i][6:9]):
+                    j, q = (near if f else beyond).get(x, (None, None))
+                    if j is not None:
+                        use = before[i - low][j]
+                        j, q = j[use], q[use]
+                        fine[j] = True
+                        out.append(np.stack([np.full(len(j), doc[i]), source[j], np.full(len(j), p), q]))
+                rest = np.flatnonzero(own & ~fine)
+                if len(rest):
+                    fine[rest[hopeful(left[i], right[i], others_left[rest], others_right[rest], int(need[i]))]] = True
+                at = np.flatnonzero(fine)
+                if len(at):
+                    out.append(np.stack([np.full(2 * len(at), doc[i]), np.tile(source[at], 2), np.repeat([pos[i], pos[i] + gap[i]], len(at)), np.concatenate([a[at], a[at] + a_gap[at]])]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(np.concatenate(out, axis=1), axis=1)], ["doc", "source", "b", "a"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rows = None, []

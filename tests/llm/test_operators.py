@@ -480,6 +480,26 @@ def test_changed_passages_beyond_the_partners_of_a_seed(spark, monkeypatch):
     assert {r["doc_id"] for r in found} == set(range(51, 55))
 
 
+def test_changed_passages_at_later_places_of_their_seeds(spark):
+    pieces = [" ".join(f"p{j}w{i}" for i in range(14)) for j in range(5)]
+    pad = lambda i, x, n: " ".join(f"{x}{i}w{j}" for j in range(n))
+    rows = [(at + j, f"{pad(at + j, 'a', 40)} {piece} {pad(at + j, 'b', 40)}") for at in (10, 20, 80, 90) for j, piece in enumerate(pieces)]
+    # first come any two pieces, too far from each other for a passage, then the passage
+    twos = lambda i: " ".join(f"{pieces[x]} {pad(i, f'c{x}{y}v', 12)} {pieces[y]} {pad(i, f'd{x}{y}v', 45)}" for x, y in itertools.combinations(range(5), 2))
+    texts = {i: [twos(i), " ".join(f"{piece} n{i}v{j}" for j, piece in enumerate(pieces)), pad(i, "b", 40)] for i in (50, 51)}
+    frame = spark.createDataFrame(rows + [(i, " ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    start = len(texts[51][0].split())
+    assert [(r["doc_id"], r["source_id"], r["start"], r["stop"]) for r in substring_dedup.passages(frame).collect()] == [(51, 50, start, start + 74)]
+
+
+def test_one_word_over_and_over_gives_few_rows(spark):
+    rows = [(i, f"{prose(60 + i, 20)} {'and ' * n}{prose(80 + i, 20)}") for i, n in enumerate((300, 250, 60))]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, n in ((1, 250), (2, 60)):
+        held = {w for r in found if r["doc_id"] == i for w in range(r["start"], r["stop"])}
+        assert set(range(20, 20 + n)) <= held and sum(r["doc_id"] == i for r in found) <= 10
+
+
 def test_stage_cuts_changed_passages_that_share_no_partner(spark):
     import corpus_pipeline
 
