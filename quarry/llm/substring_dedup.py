@@ -25,8 +25,9 @@
    The matches of the others are chained and aligned as in 3 and 4. Places of a key in one document that have the same words
    and seeds around them are told apart by nothing that is asked of them: later documents meet the first of them.
 
-Where one word stands over and over, every k-mer is the same and every place a seed. Of these the first and the last alone
-are matched and chained, each with its like (3, 6; 2: the first). Exact runs are found by all of them (5).
+Where one to `window` words stand over and over, the same k-mer is a seed at places of equal distance. Of these the first and
+the last alone are matched and chained, each with its like (3, 6; 2: the first). Exact runs are found by all of them (5), and of
+the runs that are equal again a period later those kept hold all words of the stretch.
 
 Seeds that a look at one document in SAMPLE shows to be very common are dealt to SALTS tasks each, so that a passage that
 very many documents share isn't one task's work; what is found doesn't depend on it.
@@ -79,20 +80,32 @@ def minimizers(text: str, k: int, window: int, least_words: int) -> tuple[np.nda
     return at, x[at]
 
 
-def stretches(x: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """Which of x to keep: of equal ones at places at that follow each other, the first, the last and each step-th."""
-    same = np.zeros(len(x) + 1, dtype=bool)
-    same[1:-1] = (x[1:] == x[:-1]) & (np.diff(at) == 1)
-    place = np.arange(len(x))
-    begin = np.maximum.accumulate(np.where(same[:-1], 0, place))
-    return ~(same[:-1] & same[1:]) | ((place - begin) % step == 0)
+def stretches(x: np.ndarray, step: int, most: int) -> np.ndarray:
+    """Which of x at places that follow each other to keep, where they are equal again a period of most places or less later: the first period, the last place and each step-th.
+
+    x are hashes of step words, so that a place has one least period and a stretch one period.
+    """
+    kept, free = np.ones(len(x), dtype=bool), np.ones(len(x), dtype=bool)
+    for period in range(1, min(most + 1, len(x))):
+        again = np.zeros(len(x) + 1, dtype=bool)
+        again[period:-1] = (x[period:] == x[:-period]) & free[period:]
+        if not again.any():
+            continue
+        free &= ~again[:-1]
+        place = np.arange(len(x))
+        begin = np.maximum.accumulate(np.where(again[:-1], 0, place + 1)) - period
+        kept &= ~(again[:-1] & again[1:]) | ((place - begin) % step == 0)
+    return kept
 
 
 def stretch_ends(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """1 for the first of equal x at places at that follow each other, and for one alone, 2 for the last, 0 between."""
-    same = np.zeros(len(x) + 1, dtype=bool)
-    same[1:-1] = (x[1:] == x[:-1]) & (np.diff(at) == 1)
-    return np.where(same[:-1], np.where(same[1:], 0, 2), 1).astype(np.int32)
+    """0 within equal x at places at of equal distance that follow each other, 2 for the last of them, 1 for the first and for all others."""
+    step = np.diff(at)
+    same = x[1:] == x[:-1]
+    within = np.zeros(len(x) + 1, dtype=bool)
+    within[1 : len(same)] = same[1:] & same[:-1] & (step[1:] == step[:-1])
+    before = np.roll(within, 1)[:-1]
+    return np.where(within[:-1], 0, np.where(before, 2, 1)).astype(np.int32)
 
 
 def seeds(docs: DataFrame, k: int, window: int, least_words: int) -> DataFrame:
@@ -332,6 +345,20 @@ def covered(low: np.ndarray, high: np.ndarray, start: np.ndarray, stop: np.ndarr
     return (at >= 0) & (high <= last[at])
 
 
+def spans_of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, pos, stop: the union of each document's rows in found, in pieces. Rows of a doc_id with several texts say nothing about which of them they cover."""
+
+    def merged(rows: np.ndarray):
+        doc, start, stop = rows
+        top = np.maximum.accumulate(stop)
+        new = np.flatnonzero(np.concatenate([[True], start[1:] > top[:-1]]))
+        return doc[new], start[new], top[np.concatenate([new[1:], [len(start)]]) - 1]
+
+    several = texts.groupBy("doc").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("doc")
+    pieces = by_doc(found.select(F.col("doc_id").alias("doc"), F.col("start").cast("long").alias("pos"), F.col("stop").cast("long").alias("stop")), merged, "doc long, pos long, stop long", "pos")
+    return pieces.join(several, "doc", "left_anti")
+
+
 def exact_passages(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataFrame, k: int, window: int, words: int) -> DataFrame:
     """Rows of PASSAGES: the runs of words words or more that an earlier document holds and found does not cover.
 
@@ -352,9 +379,7 @@ def exact_passages(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataF
         new = np.flatnonzero(np.concatenate([[True], low[1:] > top[:-1] + 1]))
         return doc[new], low[new], top[np.concatenate([new[1:], [len(low)]]) - 1]
 
-    # rows of a doc_id with several texts say nothing about which of them they cover
-    several = texts.groupBy("doc").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("doc")
-    spans = found.select(F.col("doc_id").alias("doc"), F.col("start").cast("long").alias("pos"), F.lit(1).cast("long").alias("kind"), F.col("stop").cast("long").alias("other")).distinct().join(several, "doc", "left_anti")
+    spans = spans_of(texts, found).select("doc", "pos", F.lit(1).cast("long").alias("kind"), F.col("stop").alias("other"))
     held = shared.select("doc", F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("kind"), F.col("seed").alias("other"))
     keys = s.table(by_doc(held.union(spans), keys_of, "key long, doc long, low long, high long, open long", "pos"), "keys")
     wanted = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max(F.when(F.col("open") == 1, F.col("doc"))).alias("last")).where("first < last").select("key")
@@ -371,8 +396,8 @@ def exact_passages(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataF
                     low, part = place["low"], h[place["low"] : place["high"] + words]
                     if len(part) >= words:
                         x, at = rolled(part, words), np.arange(low, low + len(part) - words + 1)
-                        # one word over and over: the runs kept hold all its words
-                        kept = stretches(x, at, words)
+                        # few words over and over: the runs kept hold all of them
+                        kept = stretches(x, words, window)
                         cols[0].append(x.view(np.int64)[kept])
                         cols[1].append(at[kept])
                 if cols[0]:
@@ -403,19 +428,24 @@ def shared_seeds(s: Scratch, texts: DataFrame, k: int, window: int, least_words:
     held: how many texts hold it, and one more if one holds it more than once.
     """
     heavy = common_seeds(seeds(texts.where(F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SAMPLE)) == 0).select("doc", "text"), k, window, least_words))
-    salt = F.when(F.col("seed").isin(heavy), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0) if heavy else F.lit(0)
-    # one shuffle serves both the naming and the matching
-    every = seeds(texts.select("doc", "text"), k, window, least_words).withColumn("salt", salt.cast("int")).repartition("seed", "salt")
-    fresh = lambda c: F.when(F.col("fresh"), F.col(c))
-    held = (F.count_if("fresh") + (F.count("*") > F.count_if("fresh")).cast("long")).alias("held")
-    named = every.groupBy("seed", "salt").agg(F.min("doc").alias("first"), F.min_by(fresh("pos"), fresh("doc")).alias("first_pos"), F.max("doc").alias("last"), F.max_by(fresh("pos"), fresh("doc")).alias("last_pos"), held)
-    both = every.join(named.where((F.col("first") < F.col("last")) | (F.col("salt") > 0)), ["seed", "salt"])
+    salt = F.when(F.col("seed").isin(heavy), 1 + F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0)
+    salted = {"salt": salt.cast("int")} if heavy else {}
+    keys = ["seed", *salted]
+    # one shuffle serves both the naming and the matching: both read all of its columns, and neither filters what goes into it
+    kind = F.col("ends") + F.when(F.col("fresh"), 4).otherwise(0)
+    every = seeds(texts.select("doc", "text"), k, window, least_words).select("seed", "doc", "pos", kind.alias("kind")).withColumns(salted).dropna(subset=keys).repartition(*keys)
+    is_fresh = F.col("kind") >= 4
+    fresh = lambda c: F.when(is_fresh, F.col(c))
+    held = (F.count_if(is_fresh) + (F.count("*") > F.count_if(is_fresh)).cast("long")).alias("held")
+    named = every.groupBy(*keys).agg(F.min("doc").alias("first"), F.min_by(fresh("pos"), fresh("doc")).alias("first_pos"), F.max("doc").alias("last"), F.max_by(fresh("pos"), fresh("doc")).alias("last_pos"), held)
+    met = every.join(named.where((F.col("first") < F.col("last")) | (F.col("salt") > 0 if heavy else F.lit(False))), keys)
+    both = met.select(*salted, "seed", "doc", "pos", is_fresh.alias("fresh"), (F.col("kind") % 4).alias("ends"), "first", "first_pos", "last", "last_pos", "held")
     if not heavy:
-        return s.table(both.drop("salt"), "shared")
+        return s.table(both, "shared")
     both = s.table(both, "parts")
     columns = ["seed", "doc", "pos", "fresh", "ends", "first", "first_pos", "last", "last_pos", "held"]
     # a row for each common seed comes to the driver, 1 / COMMON at most
-    ends = both.where("salt > 0").groupBy("seed").agg(F.min("first").alias("first"), F.min_by("first_pos", "first").alias("first_pos"), F.max("last").alias("last"), F.max_by("last_pos", "last").alias("last_pos"), held).collect()
+    ends = both.where("salt > 0").groupBy("seed").agg(F.min("first").alias("first"), F.min_by("first_pos", "first").alias("first_pos"), F.max("last").alias("last"), F.max_by("last_pos", "last").alias("last_pos"), (F.count_if("fresh") + (F.count("*") > F.count_if("fresh")).cast("long")).alias("held")).collect()
     told = lambda c: F.create_map(*[F.lit(x) for r in ends for x in (r["seed"], r[c])])[F.col("seed")].alias(c)
     dealt = both.where("salt > 0").select(*columns[:5], *map(told if ends else F.col, columns[5:]))
     shared = s.table(both.where("salt = 0").select(*columns).union(dealt.where("first < last").select(*columns)), "shared")
@@ -502,10 +532,8 @@ def open_matches(s: Scratch, texts: DataFrame, shared: DataFrame, found: DataFra
         key, at, gap, free = seed_pairs(pos[at], other[at], held[at], shut, max_gap)
         return (key, np.full(len(key), doc[0]), (at * fold + gap) * 2 + free) if len(key) else None
 
-    # rows of a doc_id with several texts say nothing about which of them they cover
-    several = texts.groupBy("doc").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y").select("doc")
     long = lambda c, name: F.col(c).cast("long").alias(name)
-    spans = found.select(F.col("doc_id").alias("doc"), long("start", "pos"), F.lit(1).cast("long").alias("kind"), long("stop", "other"), F.lit(0).cast("long").alias("held")).distinct().join(several, "doc", "left_anti")
+    spans = spans_of(texts, found).select("doc", "pos", F.lit(1).cast("long").alias("kind"), F.col("stop").alias("other"), F.lit(0).cast("long").alias("held"))
     told = F.when(F.col("ends") == 2, F.col("seed").bitwiseXOR(F.lit(LAST))).otherwise(F.col("seed"))
     held = shared.where("ends > 0").select("doc", long("pos", "pos"), F.lit(0).cast("long").alias("kind"), told.alias("other"), "held")
     # one shuffle serves both the sizes and the places

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from array import array
@@ -15,7 +16,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import gru, license_scan, lm_scoring, near_dedup, nearest, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_output
+from quarry.llm import common, gru, license_scan, lm_scoring, near_dedup, nearest, packing, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_output
 from quarry.llm.queries import BYTE_BPE, PIECES, VOCABULARIES
 
 WORDS = "alpha beta gamma delta omega the of and in to river stone light über café señor naïve wind glass".split()
@@ -500,6 +501,69 @@ def test_one_word_over_and_over_gives_few_rows(spark):
         assert set(range(20, 20 + n)) <= held and sum(r["doc_id"] == i for r in found) <= 10
 
 
+@pytest.mark.parametrize("period", [2, 3, 7])
+def test_few_words_over_and_over_give_few_rows(spark, period):
+    again = [f"again{j}" for j in range(period)]
+    stretch = lambda n: " ".join((again * n)[:n])
+    rows = [(i, f"{prose(60 + i, 20)} {stretch(n)} {prose(80 + i, 20)}") for i, n in enumerate((600, 500, 61))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.passages(frame).collect()
+    for i, n in ((1, 500), (2, 61)):
+        held = {w for r in found if r["doc_id"] == i for w in range(r["start"], r["stop"])}
+        assert set(range(20, 20 + n)) <= held and sum(r["doc_id"] == i for r in found) <= 20
+    seeds = substring_dedup.seeds(frame.withColumnRenamed("doc_id", "doc"), 5, 8, 45)
+    assert seeds.where("ends > 0").count() < 60 < seeds.count()
+
+
+def test_stretches_hold_all_words_and_all_runs():
+    r = np.random.default_rng(6)
+    for period in range(1, 12):
+        words = np.concatenate([r.integers(0, 1 << 40, 30), np.resize(r.integers(0, 3, period), 300), r.integers(0, 1 << 40, 50)]).astype(np.uint64)
+        x = near_dedup.rolled(words * np.uint64(0x9E3779B97F4A7C15), 45)
+        kept = substring_dedup.stretches(x, 45, 8)
+        held = {w for p in np.flatnonzero(kept).tolist() for w in range(p, p + 45)}
+        assert held == set(range(len(words))) and set(x[kept].tolist()) == set(x.tolist()) and (period > 8 or kept.sum() < 150)
+
+
+def test_seeds_are_found_and_shuffled_once(spark):
+    frame = spark.createDataFrame([(i, f"{prose(300 + i, 20)} {prose(77, 60)}", i) for i in range(50)], "doc long, text string, text_hash long")
+    plans = []
+
+    class Seen:
+        def table(self, df, name):
+            assert df.count() > 0
+            df.write.format("noop").mode("overwrite").save()
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return df
+
+        def drop(self, *_):
+            pass
+
+    for sample in (64, 1):  # without and with common seeds
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(substring_dedup, "SAMPLE", sample)
+            plans.clear()
+            substring_dedup.shared_seeds(Seen(), frame, 5, 8, 45)
+            assert "ReusedExchange" in plans[0]
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    def files() -> int:
+        return sum(x.startswith("shuffle_") for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(d.getPath()) for x in names)
+
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = files()
+    path = common.write_scratch(spark.range(1000).repartition(4).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert spark.read.parquet(path).count() == 7 and spark.conf.get(common.CLEANUP, "false") == "false"
+    for _ in range(20):
+        if (after := files()) <= before:
+            break
+        time.sleep(0.2)
+    assert after <= before
+
+
 def test_stage_cuts_changed_passages_that_share_no_partner(spark):
     import corpus_pipeline
 
