@@ -12,6 +12,10 @@ import numpy as np
 
 STEPS = 16
 LANES = 512
+#: Tokens of a softmax over classes, and parameters of a step, at once: what a processor's own memory holds.
+BLOCK, PART = 2048, 1 << 15
+#: Tokens that are scored at once, at least.
+SCORED = 8192
 #: How many classes there are of each size, in multiples of the least; the rest are of the largest.
 TIERS = ((1, 8), (2, 12), (4, 24), (8, None))
 
@@ -98,45 +102,47 @@ class Model:
         Tokens are sorted by class, so that each class has its own run of rows. Weights are too small (the gradient is
         clipped) for the exponentials to overflow, so no maximum is taken off.
         """
-        cls, w = self.class_of[target], self.width
+        cls, w, n = self.class_of[target], self.width, len(target)
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        cls, word, rows = cls[order], self.place[target][order], np.arange(len(target))
-        s = np.ones((len(target), w + 1), dtype=np.float32)
+        cls, word, rows = cls[order], self.place[target][order], np.arange(n)
+        s = np.ones((n, w + 1), dtype=np.float32)
         s[:, :w] = states[order]
         cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        own = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])) if low < high and self.sizes[c] > 1]
-
-        outer = s @ self.wc
-        found = outer[rows, cls]
-        np.exp(outer, out=outer)
-        total = outer @ np.ones(self.classes, dtype=np.float32)
+        # a class of one word is certain
+        found, total, d_inner = np.zeros(n, dtype=np.float32), np.ones(n, dtype=np.float32), np.zeros((n, w), dtype=np.float32)
+        for c, (low, high) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if low < high and self.sizes[c] > 1:
+                at = slice(low, high)
+                self.softmax(s[at], self.wo[c], word[at], rows[: high - low], found[at], total[at], d_inner[at], self.d_wo[c] if grads else None, scale)
+        outer, sums, d_sorted = np.empty(n, dtype=np.float32), np.empty(n, dtype=np.float32), np.empty((n, w), dtype=np.float32)
+        for low in range(0, n, BLOCK):
+            at = slice(low, low + BLOCK)
+            self.softmax(s[at], self.wc, cls[at], rows[: len(cls[at])], outer[at], sums[at], d_sorted[at], self.d_wc if grads else None, scale)
+        found += outer
         found -= np.log(total)
-        if grads:
-            outer *= (scale / total)[:, None]
-            outer[rows, cls] -= scale
-            self.d_wc += s.T @ outer
-            d_sorted = outer @ self.wc[:w].T
-        for c, at in own:
-            inner = s[at] @ self.wo[c]
-            hit = word[at]
-            mine = rows[: len(hit)]
-            picked = inner[mine, hit]
-            np.exp(inner, out=inner)
-            total = inner @ np.ones(inner.shape[1], dtype=np.float32)
-            found[at] += picked - np.log(total)
-            if grads:
-                inner *= (scale / total)[:, None]
-                inner[mine, hit] -= scale
-                self.d_wo[c] += s[at].T @ inner
-                d_sorted[at] += inner @ self.wo[c][:w].T
+        found -= np.log(sums)
         out = np.empty_like(found)
         out[order] = found
         if not grads:
             return out
+        d_sorted *= (scale / sums)[:, None]
+        d_inner *= (scale / total)[:, None]
+        d_sorted += d_inner
         d = np.empty_like(d_sorted)
         d[order] = d_sorted
         return out, d
 
+    def softmax(self, s: np.ndarray, weights: np.ndarray, hit: np.ndarray, rows: np.ndarray, found: np.ndarray, total: np.ndarray, d: np.ndarray, grad: np.ndarray | None, scale: float) -> None:
+        """For each row of s, what weights give hit into found and the sum of all exponentials into total; with grad the gradient of s, to be multiplied by scale / total, into d, and that of weights is added to grad."""
+        x = s @ weights
+        found[:] = x[rows, hit]
+        np.exp(x, out=x)
+        np.dot(x, np.ones(x.shape[1], dtype=np.float32), out=total)
+        if grad is not None:
+            x[rows, hit] -= total
+            np.matmul(x, weights[:-1].T, out=d)
+            grad += (s * (scale / total)[:, None]).T @ x
+
     def back(self, before: np.ndarray, kept: np.ndarray, saved: list, d_states: np.ndarray) -> None:
         """Backpropagation through one window; it ends where the window begins. d_states: (STEPS, width, lanes)."""
         w, (steps, lanes) = self.width, before.shape
@@ -207,12 +213,24 @@ def windows(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: int
 
 def document_scores(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log-probability of each document. Every document has a token at least."""
-    out, h = np.zeros(len(lengths)), None
+    out, h, held, tokens = np.zeros(len(lengths)), None, [], 0
+
+    def add() -> None:
+        states, words, own = (np.concatenate(x) for x in zip(*held))
+        out[:] += np.bincount(own, model.score(states, words), len(out))
+
     for word, before, kept, there, doc in windows(ids, starts, lengths, model.first):
         h = np.zeros((model.width, word.shape[1]), dtype=np.float32) if h is None else h[:, : word.shape[1]]
         states, _ = model.run(before, kept, h, False)
         h = states[-1]
-        out += np.bincount(doc[there], model.score(states.transpose(0, 2, 1)[there], word[there]), len(out))
+        held.append((states.transpose(0, 2, 1)[there], word[there], doc[there]))
+        tokens += len(held[-1][1])
+        # windows of few tokens, as long documents' ends are, are scored together
+        if tokens >= SCORED:
+            add()
+            held, tokens = [], 0
+    if held:
+        add()
     return out
 
 
@@ -223,39 +241,55 @@ class Trainer:
 
     def __init__(self, model: Model, rate: float = 0.01):
         self.model, self.rate, self.step, self.tokens = model, rate, 0, 0
-        self.grad, self.m, self.v, self.spare = (np.zeros_like(model.flat) for _ in range(4))
+        self.grad, self.m, self.v = (np.zeros_like(model.flat) for _ in range(3))
         model.views(self.grad, "d_")
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        model, h = self.model, None
+        model, h, held = self.model, None, []
         for word, before, kept, there, _ in windows(ids, starts, lengths, model.first):
             h = np.zeros((model.width, word.shape[1]), dtype=np.float32) if h is None else h[:, : word.shape[1]]
             states, saved = model.run(before, kept, h, True)
             h = states[-1]
-            _, d = model.score(states.transpose(0, 2, 1)[there], word[there], True)
-            d_states = np.zeros((*word.shape, model.width), dtype=np.float32)
-            d_states[there] = d
-            model.back(before, kept, saved, d_states.transpose(0, 2, 1))
+            held.append((word, before, kept, there, states, saved))
             self.tokens += int(there.sum())
             if self.tokens >= self.LEAST:
+                self.add(held)
                 self.adam()
-        if self.tokens:
+                held = []
+        if held:
+            self.add(held)
             self.adam()
 
+    def add(self, held: list[tuple]) -> None:
+        """Adds up the gradients of windows that the same parameters ran through, side by side."""
+        model = self.model
+        word, before, kept, there = (np.concatenate(x, axis=1) for x in list(zip(*held))[:4])
+        states = np.concatenate([x[4] for x in held], axis=2)
+        saved = held[0][5] if len(held) == 1 else [tuple(np.concatenate(x, axis=1) for x in zip(*step)) for step in zip(*(x[5] for x in held))]
+        _, d = model.score(states.transpose(0, 2, 1)[there], word[there], True)
+        d_states = np.zeros((*word.shape, model.width), dtype=np.float32)
+        d_states[there] = d
+        model.back(before, kept, saved, d_states.transpose(0, 2, 1))
+
     def adam(self) -> None:
-        """One step by the mean gradient of the tokens since the last."""
+        """One step by the mean gradient of the tokens since the last. m and v are ten and a hundred times the means."""
         self.step += 1
-        g, spare, share = self.grad, self.spare, min(1.0, self.tokens / self.FULL)
-        g *= 1 / (self.tokens * max(1.0, float(np.sqrt(g @ g)) / self.tokens))
-        self.m *= 0.9
-        self.m += np.multiply(g, 0.1, out=spare)
-        self.v *= 0.99
-        np.multiply(g, g, out=spare)
-        self.v += np.multiply(spare, 0.01, out=spare)
-        np.sqrt(self.v, out=spare)
-        spare += 1e-6
-        np.divide(self.m, spare, out=spare)
-        spare *= self.rate * share * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
-        self.model.flat -= spare
-        g[:] = 0
+        share = min(1.0, self.tokens / self.FULL)
+        mean = np.float32(1 / (self.tokens * max(1.0, float(np.sqrt(self.grad @ self.grad)) / self.tokens)))
+        rate = np.float32(self.rate * share * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step))
+        for low in range(0, len(self.grad), PART):
+            g, m, v, flat = (x[low : low + PART] for x in (self.grad, self.m, self.v, self.model.flat))
+            g *= mean
+            m *= np.float32(0.9)
+            m += g
+            g *= g
+            v *= np.float32(0.99)
+            v += g
+            # 0.1 m / (sqrt(0.01 v) + 1e-6)
+            np.sqrt(v, out=g)
+            g += np.float32(1e-5)
+            np.divide(m, g, out=g)
+            g *= rate
+            flat -= g
+            g[:] = 0
         self.tokens = 0

@@ -9,6 +9,7 @@
    COPY_TOKENS of a round, which documents are dealt to by their hash, however the input is partitioned; after each round
    the copies are averaged by tokens, with a running sum for each piece of PIECE parameters, in slots of about SLOT_COPIES
    copies first. Each training document is learnt from once.
+   Texts become the model's ids once, and both training and scoring read these.
 4. Every whole text is scored with its state carried through.
 
 Tokens are runs of characters other than ASCII white space, A to Z in lower case, and one end, which is counted as a
@@ -40,6 +41,8 @@ HELD_WORDS = 300_000
 PIECE = 1 << 14
 #: Tokens that a copy of the model learns from in a round, and copies that are averaged in one slot.
 COPY_TOKENS, SLOT_COPIES = 1 << 20, 64
+#: Bytes of ids that a task holds at once.
+HELD_IDS = 1 << 22
 #: Steps of frequency per factor of two that hot words are chosen by.
 FINE = 64
 
@@ -89,6 +92,17 @@ class Words:
         return np.where((ranks < 0) | (ranks >= self.known), self.known, ranks)
 
 
+def id_kind(model_words: int) -> str:
+    return "<u2" if model_words <= 1 << 16 else "<u4"
+
+
+def _ids(batch: pa.RecordBatch, column: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all tokens, and where each document begins and its length."""
+    ids = [np.frombuffer(x, kind) for x in batch.column(column).to_pylist()]
+    lengths = np.array([len(x) for x in ids], dtype=np.int64)
+    return np.concatenate(ids).astype(np.int32), np.cumsum(lengths) - lengths, lengths
+
+
 def _documents(words: Words, texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """The words that aren't hot of each text, ranks of all tokens, and where each text begins and its length; one text's tokens are held at a time."""
     rare, ranks = [], []
@@ -149,13 +163,13 @@ def averaged(copies: DataFrame, slots: int = 1, kind: str = "<f8") -> np.ndarray
     return np.concatenate([np.frombuffer(r["x"], "<f8") for r in sorted(rows, key=lambda r: r["piece"])]).astype("<f4") if rows else None
 
 
-def trained(texts: DataFrame, tokens: int, words, model_words: int, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Parameters after one round over texts(text, deal) of about so many tokens: the average of copies by their tokens.
+def trained(documents: DataFrame, tokens: int, words, model_words: int, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Parameters after one round over documents(ids, deal) of about so many tokens: the average of copies by their tokens.
 
-    There is a copy for each COPY_TOKENS, and texts are dealt to them by `deal`, so what a copy learns from doesn't depend on
+    There is a copy for each COPY_TOKENS, and documents are dealt to them by `deal`, so what a copy learns from doesn't depend on
     how the input is partitioned; the order in which it does may, and moves scores little.
     """
-    start = texts.sparkSession.sparkContext.broadcast(flat)
+    start = documents.sparkSession.sparkContext.broadcast(flat)
     copies = max(1, -(-tokens // COPY_TOKENS))
     slots = -(-copies // SLOT_COPIES)
 
@@ -163,16 +177,16 @@ def trained(texts: DataFrame, tokens: int, words, model_words: int, counts: np.n
         own = words.value
         model = Model(own.known + 1, own.first, flat=start.value)
         trainer, seen = Trainer(model), 0
-        for batch in text_slices(batches, 0):
-            _, ranks, starts, lengths = _documents(own, batch.column(0).to_pylist())
-            trainer.learn(own.ids(ranks), starts, lengths)
-            seen += len(ranks)
+        for batch in text_slices(batches, 0, HELD_IDS):
+            ids, starts, lengths = _ids(batch, 0, id_kind(model_words))
+            trainer.learn(ids, starts, lengths)
+            seen += len(ids)
         if seen:
             pieces = [model.flat[at : at + PIECE].astype("<f4").tobytes() for at in range(0, len(model.flat), PIECE)]
             slot = TaskContext.get().partitionId() % slots
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([slot] * len(pieces), pa.int32()), pa.array([seen] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "slot", "seen", "x"])
 
-    dealt = texts.select("text", "deal").repartition(copies, "deal").select("text")
+    dealt = documents.select("ids", "deal").repartition(copies, "deal").select("ids")
     found = averaged(dealt.mapInArrow(learn, "piece int, slot int, seen long, x binary"), slots, "<f4")
     return flat if found is None else found
 
@@ -185,12 +199,12 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, model_words: int = 1 <
     training = texts.where(~F.col("held_out"))
     with Scratch(spark) as s:
         counts = s.table(word_counts(training), "words")
-        rows = _scored(s, texts, training, counts, model_words, hot_words)
+        rows = _scored(s, texts, counts, model_words, hot_words)
         path = write_scratch(rows, "scores")
     return spark.read.schema(SCORES).parquet(path)
 
 
-def _scored(s: Scratch, texts: DataFrame, training: DataFrame, counts: DataFrame, model_words: int, hot_words: int) -> DataFrame:
+def _scored(s: Scratch, texts: DataFrame, counts: DataFrame, model_words: int, hot_words: int) -> DataFrame:
     spark = texts.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     hot = hot_of(counts, hot_words)
@@ -200,34 +214,46 @@ def _scored(s: Scratch, texts: DataFrame, training: DataFrame, counts: DataFrame
     others = np.log10(own[-1] + total["v"] - known + 1)
     everything = np.log10(float(total["n"] + total["v"] + 1))
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = words.value
+        for batch in text_slices(batches, 5):
+            rare, ranks, starts, lengths = _documents(w, batch.column(5).to_pylist())
+            cuts = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(list(chain.from_iterable(rare)), pa.binary()).cast(pa.string()))
+            ids = w.ids(ranks)
+            sums = lambda x: np.add.reduceat(x, starts)
+            logs, outside = w.log[ranks], ids == w.known
+            told = ids.astype(id_kind(model_words))
+            bounds = pa.array(np.append(starts, len(told)) * told.itemsize, pa.int64())
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, bounds.buffers()[1], pa.py_buffer(told)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(lengths), pa.array(sums((ranks >= 0).astype(np.int64))), pa.array(sums(logs)), pa.array(sums(np.where(outside, logs - others, 0.0))), held, rare],
+                ["row", "doc_id", "held_out", "early", "deal", "n_tokens", "n_hot", "logs", "outside", "ids", "rare"],
+            )
+
+    numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "early", "deal", "text")
+    encoded = s.table(numbered.mapInArrow(encode, "row long, doc_id long, held_out boolean, early boolean, deal long, n_tokens long, n_hot long, logs double, outside double, ids binary, rare array<string>"), "encoded")
+
     flat = Model(known + 1, words.value.first, counts=own).flat
     early = F.coalesce(F.col("early"), F.lit(False))
     for part, share in ((early, 1 / 8), (~early, 7 / 8)):
-        flat = trained(training.where(part), int(total["n"] * share), words, model_words, own, flat)
+        flat = trained(encoded.where(~F.col("held_out") & part), int(total["n"] * share), words, model_words, own, flat)
 
     learnt = spark.sparkContext.broadcast(flat)
+    columns = ["row", "doc_id", "held_out", "n_tokens", "n_hot", "logs"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words.value
         model = Model(w.known + 1, w.first, flat=learnt.value)
-        for batch in text_slices(batches, 3):
-            rare, ranks, starts, lengths = _documents(w, batch.column(3).to_pylist())
-            cuts = np.cumsum([0, *map(len, rare)]).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(cuts), pa.array(list(chain.from_iterable(rare)), pa.binary()).cast(pa.string()))
-            ids = w.ids(ranks)
+        for batch in text_slices(batches, 7, HELD_IDS):
+            ids, starts, lengths = _ids(batch, 7, id_kind(model_words))
             scores = document_scores(model, ids, starts, lengths) / np.log(10)
-            sums = lambda x: np.add.reduceat(x, starts)
-            logs, outside = w.log[ranks], ids == w.known
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(lengths), pa.array(sums((ranks >= 0).astype(np.int64))), pa.array(sums(logs)), pa.array(scores + sums(np.where(outside, logs - others, 0.0))), rare],
-                ["row", "doc_id", "held_out", "n_tokens", "n_hot", "logs", "score", "rare"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(scores + batch.column(6).to_numpy())], [*columns, "score"])
 
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = s.table(rows.mapInArrow(measure, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, logs double, score double, rare array<string>"), "scored")
-    rare = rows.select("row", F.explode("rare").alias("word"))
+    rows = encoded.select(*columns, "outside", "ids").mapInArrow(measure, "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, logs double, score double")
+    rare = encoded.select("row", F.explode("rare").alias("word"))
     met = rare.join(counts, "word").groupBy("row").agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("logs_rare"))
-    full = rows.drop("rare").join(met, "row", "left")
+    full = rows.join(met, "row", "left")
     logs = F.coalesce("logs_rare", F.lit(0.0))
     return full.select(
         "doc_id",

@@ -336,6 +336,37 @@ def test_gru_scores_by_definition():
         assert gru.document_scores(model, ids, starts, lengths)[d] == pytest.approx(total, abs=1e-3)
 
 
+def test_windows_of_few_tokens_go_through_the_softmax_together(monkeypatch):
+    r = np.random.default_rng(5)
+    model = gru.Model(300, 0, width=4, per_class=8, counts=r.integers(1, 50, 300))
+    ids, lengths = r.integers(0, 300, 5000), np.array([4000, 900, 100])
+    starts, sizes, score = np.cumsum(lengths) - lengths, [], gru.Model.score
+
+    def counted(self, states, target, *rest):
+        sizes.append(len(target))
+        return score(self, states, target, *rest)
+
+    monkeypatch.setattr(gru.Model, "score", counted)
+    gru.document_scores(model, ids, starts, lengths)
+    assert len(sizes) == 1 and sum(sizes) == 5000
+    sizes.clear()
+    trainer = gru.Trainer(model)
+    trainer.learn(ids, starts, lengths)
+    assert sum(sizes) == 5000 and all(x >= trainer.LEAST for x in sizes[:-1]) and trainer.step == len(sizes) <= 10
+    # their gradients are those of each window by itself
+    windows, h = [], np.zeros((4, 3), dtype=np.float32)
+    for word, before, kept, there, _ in itertools.islice(gru.windows(ids, starts, lengths, 0), 3):
+        states, saved = model.run(before, kept, h, True)
+        h = states[-1]
+        windows.append((word, before, kept, there, states, saved))
+    trainer.add(windows)
+    together = trainer.grad.copy()
+    trainer.grad[:] = 0
+    for window in windows:
+        trainer.add([window])
+    assert np.abs(together).max() > 1 and np.allclose(together, trainer.grad, atol=1e-4)
+
+
 def test_hot_words(spark):
     r = random.Random(2)
     counts = {f"w{i}": int(1000 * r.random() ** 4) + 1 for i in range(500)}
