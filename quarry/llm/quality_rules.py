@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, whole_text
+from quarry.llm.common import kept, slices, whole_text
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -83,13 +83,8 @@ class WordTable:
         return tuple({w: new[w] if w in new else kept[w] for w in words} for new, kept in ((ids, self.ids), (own, self.own)))
 
 
-_tables: dict[tuple, WordTable] = {}
-
-
 def word_table(*files: str) -> WordTable:
-    if files not in _tables:
-        _tables[files] = WordTable(*files)
-    return _tables[files]
+    return kept((WordTable, *files), lambda: WordTable(*files))
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, whole_text, write_scratch
+from quarry.llm.common import kept, slices, whole_text, write_scratch
 
 #: Parquet settings of the token files.
 FILE_OPTIONS = {
@@ -102,14 +102,9 @@ def _holes(x: list) -> list[int]:
     return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each file and Python worker; workers serve many tasks."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return kept((ChunkEncoder, path), lambda: ChunkEncoder(path))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0) -> str:

@@ -579,6 +579,18 @@ def test_seeds_are_found_and_shuffled_once(spark):
             assert "ReusedExchange" in plans[0]
 
 
+def test_workers_keep_tokenizers_only_while_tasks_use_them():
+    key = quality_rules.WordTable, *VOCABULARIES
+    task = lambda: list(common.slices(iter([])))
+    task()
+    table = quality_rules.word_table(*VOCABULARIES)
+    encoder = token_output.encoder(BYTE_BPE)
+    for _ in range(2 * common.UNUSED):
+        task()
+        assert token_output.encoder(BYTE_BPE) is encoder
+    assert key not in common._kept and quality_rules.word_table(*VOCABULARIES) is not table
+
+
 def test_scratch_tables_leave_no_shuffle_files(spark):
     def files() -> int:
         return sum(x.startswith("shuffle_") for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(d.getPath()) for x in names)
