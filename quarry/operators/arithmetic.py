@@ -71,10 +71,28 @@ def value(expression: Column, most: int) -> Column:
     return F.when(whole & few & (F.size(tokens) > 0), end)
 
 
-def shown(x: Column) -> Column:
+def _eighths(part: Column) -> Column:
+    """A part of one as hundred-millionths, of two as near the even one, by the double's exact value: its bits down to 2^-90 as a whole number."""
+    whole = lambda x: F.floor(x).cast("decimal(10,0)")
+    a = part * float(1 << 30)
+    b = (a - F.floor(a)) * float(1 << 30)
+    c = (b - F.floor(b)) * float(1 << 30)
+    n = lambda k: F.lit(str(k)).cast(f"decimal({len(str(k))},0)")
+    bits = (whole(a) * n(1 << 60) + whole(b) * n(1 << 30) + whole(c)) * n(10**8)
+    rest = bits % n(1 << 90)
+    down = ((bits - rest) / n(1 << 90)).cast("long")
+    return down + ((rest > n(1 << 89)) | ((rest == n(1 << 89)) & (down % 2 == 1))).cast("long")
+
+
+def shown(number: Column) -> Column:
     """A whole number as it is, another with eight places at most."""
-    cut = F.regexp_replace(F.regexp_replace(F.format_string("%.8f", x), "0+$", ""), r"\.$", "")
-    return F.when(x.isNull() | (F.abs(x) >= 1e37), F.lit(None)).when(F.abs(x - F.round(x)) < 1e-9, F.round(x).cast("decimal(38,0)").cast("string")).otherwise(cut)
+    def one(x: Column) -> Column:
+        below = F.floor(F.abs(x))
+        part = F.transform(F.array(_eighths(F.abs(x) - below)), lambda e: F.concat((below + F.when(e == 10**8, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((e % 10**8).cast("string"), 8, "0")))[0]
+        cut = F.concat(F.when(x < 0, "-").otherwise(""), F.regexp_replace(F.regexp_replace(part, "0+$", ""), r"\.$", ""))
+        return F.when(x.isNull() | (F.abs(x) >= 1e37), F.lit(None)).when(F.abs(x - F.round(x)) < 1e-9, F.round(x).cast("decimal(38,0)").cast("string")).otherwise(cut)
+
+    return F.transform(F.array(number), one)[0]
 
 
 def answer(question: Column, most: int = 2) -> Column:

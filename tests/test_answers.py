@@ -17,6 +17,13 @@ def test_arithmetic(spark):
     assert {r["q"]: r["a"] for r in rows} == ARITHMETIC | {None: None}
 
 
+def test_the_eighth_place_is_rounded_by_the_exact_value(spark):
+    """Half of the last place goes to the even digit: 512 parts end on the ninth place."""
+    asked = ["1/512", "3/512", "10037/512", "-1/512", "100000001/10", "1/1280 + 0", "1-1/500000000", "1/700000000"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "i int, q string").orderBy("i").select(arithmetic.answer(F.col("q"), 3).alias("a")).collect()
+    assert [r["a"] for r in rows] == ["0.00195312", "0.00585938", "19.60351562", "-0.00195312", "10000000.1", "0.00078125", "1", "0"]
+
+
 def test_operators_are_limited(spark):
     one = spark.range(1).select(arithmetic.answer(F.lit("1+2+3"), 1).alias("a"), arithmetic.answer(F.lit("1+2+3"), 2).alias("b")).first()
     assert tuple(one) == (None, "6")
