@@ -20,11 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import scores
-from quarry.operators import retrieval
+from quarry.operators import retrieval, vector_blocks
 from quarry.sources import versions
 
-#: Cells and questions times cells up to which a table of them is broadcast.
-MOST_BROADCAST = 100_000
 #: Below this, two doubles are the same distance.
 SLACK = 1e-9
 
@@ -162,15 +160,11 @@ def probes(manifest: DataFrame, queries: DataFrame) -> DataFrame:
     return met.select("query_id", "cell", F.row_number().over(Window.partitionBy("query_id").orderBy(gap, "cell")).alias("turn"), (scores.dot(q, c) + length(q) * F.col("reach") + SLACK).alias("most"))
 
 
-def _met(spark: SparkSession, index: VectorIndex, manifest: DataFrame, queries: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of the vectors in the asked cells of each question."""
+def _met(spark: SparkSession, index: VectorIndex, manifest: DataFrame, queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score of the vectors in the asked cells of each question, as far as they can be among its k best of a block."""
     cells = [r["cell"] for r in asked.select("cell").distinct().collect()]
-    wanted = asked.select("query_id", "cell").join(queries, "query_id")
-    if asked.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    rows = index.vectors(spark, manifest, cells).select("vec_id", "embedding", "cell")
-    met = rows.join(wanted, "cell").where("vec_id <> query_id")
-    return met.select("query_id", "vec_id", F.round(scores.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    wanted = asked.select("query_id", "cell").join(queries, "query_id").repartition("cell").sortWithinPartitions("cell")
+    return vector_blocks.candidates(vector_blocks.packed(index.vectors(spark, manifest, cells), "cell", "vec_id", "embedding"), vector_blocks.packed(wanted, "cell", "query_id", "q"), k, parts=True)
 
 
 def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int, nprobe: int = 16, exact: bool = False, version: int | None = None) -> DataFrame:
@@ -178,12 +172,12 @@ def search(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int,
     manifest = index.manifest(spark, version)
     queries = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
     asked = probes(manifest, queries).cache()
-    first = retrieval.top_k(_met(spark, index, manifest, queries, asked.where(F.col("turn") <= nprobe)), "query_id", "vec_id", k)
+    first = retrieval.top_k(_met(spark, index, manifest, queries, asked.where(F.col("turn") <= nprobe), k), "query_id", "vec_id", k)
     if not exact:
         return first
     floors = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
     more = asked.where(F.col("turn") > nprobe).join(floors, "query_id", "left").where(F.col("floor").isNull() | (F.col("most") >= F.col("floor")))
-    rest = _met(spark, index, manifest, queries, more)
+    rest = _met(spark, index, manifest, queries, more, k)
     return retrieval.top_k(first.drop("rank").union(rest), "query_id", "vec_id", k)
 
 

@@ -129,3 +129,19 @@ def test_gate(spark):
     told = [(0.98, 100.0, 70.0), (0.97, 100.0, 10.0), (0.99, 100.0, 71.0), (None, 100.0, 10.0), (0.99, 0.0, 0.0), (0.99, 10.0, 20.0)]
     found = vector_index.gate(spark.createDataFrame(told, "recall double, exact_p95 double, ann_p95 double").coalesce(1)).collect()
     assert [(r["gain"], r["passed"]) for r in found] == [(0.3, True), (0.9, False), (0.29, False), (0.9, False), (None, False), (0.0, False)]
+
+
+def test_blocks_keep_scores_and_ties_of_a_scan(spark):
+    """Equal vectors, several blocks, a null, another length: as pair by pair."""
+    from quarry.functions import scores
+    from quarry.operators import retrieval, vector_blocks
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=5), 1)]) for i in range(vector_blocks.BLOCK + 900)]
+    rows += [(10_000 + i, [1.0, 1.0, 1.0, 1.0, 1.0]) for i in range(300)] + [(20_000, None), (20_001, [1.0, None, 1.0, 1.0, 1.0]), (20_002, [9.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1)
+    q = v.where("vec_id % 500 = 0 OR vec_id > 20000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    met = v.crossJoin(q).where("vec_id <> query_id").select("query_id", "vec_id", F.round(scores.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+    own = retrieval.vector_scores(v, q, 7)
+    assert sorted(map(repr, own.collect())) == sorted(map(repr, retrieval.top_k(met, "query_id", "vec_id", 7).collect()))
+    assert "zip_with" not in own._jdf.queryExecution().executedPlan().toString()
