@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.jobs.catalogue import BM25, MANY, SNIPPETS, SQL, query
-from quarry.operators import expansion, index, retrieval
+from quarry.operators import expansion, index
 from quarry.functions import scores
 from quarry.sources import views
 
@@ -37,8 +37,8 @@ def index_append(spark, sf_dir):
 def index_append_topk(spark, sf_dir):
     """A search over three segments."""
     own, _ = _grown(spark, sf_dir)
-    scored = index.bm25(spark, own, expansion.plan(views.questions(spark, sf_dir), {})).withColumn("score", F.round("score", 9))
-    return retrieval.top_k(scored, "qid", "snippet_id", 5).select("qid", "snippet_id", F.round("score", 6).alias("score"), "rank")
+    found = index.best(spark, own, expansion.plan(views.questions(spark, sf_dir), {}), 5)
+    return found.select("qid", "snippet_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("""WITH n AS (SELECT count(*) FILTER (doc_id % 10 <= 6) AS a, count(*) FILTER (doc_id % 10 = 7) AS b, count(*) FILTER (doc_id % 10 >= 8) AS c FROM documents)
